@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import minhash, mixing, substring
+from strandmill.llm import bpe, minhash, mixing, records, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +26,24 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
 
+def _tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_documents(spark, sf_dir), _tokenizer(), full=False)
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(_documents(spark, sf_dir), _tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_token_records": op9_token_records,
 }
 
 ORACLE_SQL: dict[str, str] = {
