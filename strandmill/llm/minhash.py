@@ -8,8 +8,8 @@ the halves of the interval. A register keeps its earliest point, so two document
 with exactly the probability of their weighted Jaccard similarity. Points later than the latest register
 can change nothing, and generation stops there.
 
-Registers are grouped to bands; documents that share a band are candidates, and candidates are verified
-by the overlap of their multisets (sum of minima over sum of maxima of the counts).
+A band is a fixed random choice of registers; documents that share a band are candidates, and candidates are
+verified by the overlap of their multisets (sum of minima over sum of maxima of the counts).
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from strandmill.storage import materialize
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 30, 4
+REGISTERS, BANDS, ROWS = 128, 64, 7
+#: Mean number of texts in each of the two blocks that are compared at a time.
+BLOCK_TEXTS = 48
 _GOLDEN, _SALTS = 0x9E3779B97F4A7C15, stream(71, 4)
 
 
@@ -57,11 +59,14 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n_docs: int, r
 
 
 def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    bits = registers.view(U64).reshape(len(registers), bands, rows)
-    key = np.broadcast_to(stream(83, bands), bits.shape[:2]).copy()
-    for r in range(rows):
-        key = mix(key ^ bits[:, :, r])
-    return key.view(np.int64)
+    bits = registers.view(U64)
+    keys = []
+    for band in range(bands):
+        key = np.full(len(bits), stream(83, bands)[band], U64)
+        for r in np.argsort(stream(101 + band, bits.shape[1]))[:rows]:
+            key = mix(key ^ bits[:, r])
+        keys.append(key)
+    return np.stack(keys, 1).view(np.int64)
 
 
 def sign(batches: Iterator[pa.RecordBatch], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> Iterator[pa.RecordBatch]:
@@ -70,7 +75,7 @@ def sign(batches: Iterator[pa.RecordBatch], bands: int = BANDS, rows: int = ROWS
         lists = []
         for a, b, data, offsets in blocks(batch.column("text")):
             doc, h, count = bags(*shingles(words(data, offsets), width))
-            keys = band_keys(signatures(doc, h, count, b - a, bands * rows), bands, rows)
+            keys = band_keys(signatures(doc, h, count, b - a, REGISTERS), bands, rows)
             some = np.zeros(b - a, bool)
             some[doc] = True
             lists.append(pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.ravel()), mask=pa.array(~some)))
@@ -94,65 +99,74 @@ def _bag(text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     return bags(doc, h)[1:]
 
 
-def verify(batches: Iterator[pa.RecordBatch], least: float, width: int) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b, text_a, text_b) whose multisets overlap by ``least``; adds the similarity."""
+def verify(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, text_a, text_b) to (a, b, similarity)."""
     last, bag = None, None
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        a, b = batch.column("a"), batch.column("b")
         left, right = batch.column("text_a"), batch.column("text_b")
-        hits = []
+        out = []
         for i in range(len(a)):
-            if last != (key := (a[i], left[i].as_py())):
+            if last != (key := (a[i].as_py(), left[i].as_py())):
                 last, bag = key, _bag(key[1], width)
-            if (s := similarity(bag, _bag(right[i].as_py(), width))) >= least:
-                hits.append((a[i], b[i], s))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in hits], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+            out.append(similarity(bag, _bag(right[i].as_py(), width)))
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
-def near_duplicate_links(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b, similarity) between representatives, and the classes (id, root) they make.
-
-    No bucket emits its pairs. In each round every bucket names a few pivots (one, then two, four, ...),
-    and each member is compared with the pivots that are not yet in its own class; then the pivots leave
-    the bucket, having met everyone, and buckets with one class left are done. Each pair of members thus
-    ends in one class, or has been compared: no link is lost, and a group of n copies costs n pairs.
+def compare_blocks(batches: Iterator[pa.RecordBatch], least: float, width: int) -> Iterator[pa.RecordBatch]:
+    """All texts of a far block against all of a block of members: links (a, b) between different classes."""
+    for batch in batches:
+        links = []
+        for far, others in zip(batch.column("far").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            bag = [_bag(x["text"], width) for x in others]
+            ids, roots = (np.array([x[k] for x in others]) for k in ("id", "root"))
+            sizes = np.array([n.sum() for _, n in bag])
+            flat, count = (np.concatenate([x[k] for x in bag]) for k in (0, 1))
+            owner = np.repeat(np.arange(len(bag)), [len(h) for h, _ in bag])
+            for x in far:
+                h, n = _bag(x["text"], width)
+                at = np.minimum(np.searchsorted(h, flat), len(h) - 1)
+                same = np.bincount(owner, np.where(h[at] == flat, np.minimum(n[at], count), 0), len(bag))
+                close = same >= least * (sizes + n.sum() - same)
+                links += [(min(x["id"], i), max(x["id"], i)) for i in ids[close & (roots != x["root"])].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def near_duplicate_links(docs: DataFrame, signed: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """Verified links (a, b) that connect the classes of representatives (id, keys).
+
+    No bucket emits its pairs. Each bucket names its most connected member, the pivot, and every member is
+    compared with the pivots of its buckets. Members close to a pivot are in one class with it. Two members of a
+    bucket that could be linked otherwise include one that is far from the pivot: the far ones of a pivot are
+    compared exactly with all its members, block against block, unless they already are in one class. So every
+    two members of a bucket end in one class or have been compared, and a group of n copies costs n rows.
     """
-    spark = docs.sparkSession
     keyed = signed.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(keyed.join(shared, "key"), "members")
-    ids = members.select("id").distinct()
+    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
+    pivots = materialize(ranked.select("key", (-F.col("top.minus")).alias("a")), "pivots")
+    spokes = materialize(members.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "spokes")
+    ids = spokes.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = materialize(docs.where("text is not null").join(ids, "id", "left_semi").select("id", "text").distinct(), "candidates")
-    links = checked = roots = None
-    pivots_each = 1
-    while True:
-        if roots is not None:
-            members = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            members = materialize(members.join(open_keys, "key"), "members")
-        else:
-            members = members.withColumn("root", F.col("id"))
-        group = F.pmod(F.xxhash64("id", F.lit(pivots_each)), F.lit(pivots_each))
-        pivots = members.groupBy("key", group.alias("g")).agg(F.min(F.struct("id", "root")).alias("p")).select("key", "p.*")
-        pivots = materialize(pivots, "pivots")
-        p = pivots.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"))
-        pairs = members.join(p, "key").where("id <> a and root <> root_a")
-        pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        found = both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: verify(it, least, width), "a long, b long, similarity double")
-        found = materialize(found, "found")
-        links = found if links is None else links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        roots = materialize(components(links), "roots")
-        members = members.join(pivots.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
-        members = materialize(members, "members")
-        if members.isEmpty():
-            return links, roots
-        pivots_each *= 2
+    both = spokes.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    spokes = materialize(both.mapInArrow(lambda it: verify(it, width), "a long, b long, similarity double"), "verified")
+    near = spokes.where(F.col("similarity") >= least).select("a", "b")
+
+    roots = materialize(components(near), "roots")
+    r = roots.withColumnsRenamed({"id": "b", "root": "root_b"})
+    q = roots.withColumnsRenamed({"id": "a", "root": "root_a"})
+    known = spokes.join(r, "b", "left").join(q, "a", "left").select("a", "b", F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("far"))
+    size = known.groupBy("a").agg(F.count("*").alias("n"), F.count_if("far").alias("n_far")).where("n > 1 and n_far > 0")
+    known = known.join(size, "a").join(texts.withColumnRenamed("id", "b"), "b")
+    text = F.struct(F.col("b").alias("id"), "root", "text")
+    block = lambda n: F.pmod(F.xxhash64("b"), F.ceil(F.col(n) / BLOCK_TEXTS))
+    far = known.where("far").groupBy("a", block("n_far").alias("block")).agg(F.collect_list(text).alias("far")).select("a", "far")
+    others = known.groupBy("a", block("n").alias("block")).agg(F.collect_list(text).alias("members")).select("a", "members")
+    found = far.join(others, "a").select("far", "members").mapInArrow(lambda it: compare_blocks(it, least, width), "a long, b long")
+    return near.unionByName(materialize(found.distinct(), "found"))
 
 
 def near_duplicates(documents: DataFrame, least: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -169,7 +183,8 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, width: int
     signed = materialize(signed.mapInArrow(lambda it: sign(it, bands, rows, width), "id long, digest binary, keys array<long>"), "signed")
     copies = signed.groupBy("digest").agg(F.min(F.struct("id", "keys")).alias("r"))
     copies = materialize(copies.select("digest", F.col("r.id").alias("rep"), F.col("r.keys").alias("keys")), "copies")
-    _, roots = near_duplicate_links(docs, copies.select(F.col("rep").alias("id"), "keys").where("keys is not null"), least, width)
+    links = near_duplicate_links(docs, copies.select(F.col("rep").alias("id"), "keys").where("keys is not null"), least, width)
+    roots = materialize(components(links), "roots")
     # a doc_id with several texts joins the classes of all of them
     tie = signed.select("id", "digest").join(copies.select("digest", "rep"), "digest").select("id", "rep").distinct()
     tie = tie.join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
