@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,3 +40,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def plan_bytes(df: DataFrame) -> int:
     """Size of the input as the optimizer estimates it (file sizes for plain scans)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark clear the shuffle files of finished jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
