@@ -1,14 +1,14 @@
 """Substring dedup over a log-structured index of window fingerprints.
 
 A window is 20 consecutive words. What the index keeps of a window is its anchor: the smallest fingerprint
-of the 8-word runs within it. Equal windows have equal anchors, neighbouring windows mostly share one, and so
+of the 6-word runs within it. Equal windows have equal anchors, neighbouring windows mostly share one, and so
 the index is several times smaller than the windows. The index is a log of immutable runs, each cut into
 buckets by the leading bits of the anchor and sorted within the bucket. A new batch of documents is reduced to
 its sorted anchors and merge-joined with the runs, bucket by bucket: anchors met before (in the runs, in
 another part of the batch, or earlier in one text) make their documents candidates. The batch is then written
 as a run of its own, and runs are compacted to one when there are too many. Candidates are verified: windows
-under a repeated anchor are fingerprinted whole (96 bits) and ordered by (doc_id, start), and only a window
-whose words also start earlier counts as repeated.
+under a repeated anchor are told apart by 48 more bits over all their words, ordered by (doc_id, start), and
+only a window whose words also start earlier counts as repeated.
 
 Within each Arrow batch an anchor or a window goes to the shuffle once, however often it occurs; what
 repeats it there is settled on the spot. So a passage in a third of all documents costs a row for each batch.
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.text import SPAN_A, SPAN_B, U64, WORD_A, WORD_B, Words, blocks, mix, words
-from strandmill.storage import materialize, new_path, plan_bytes, remove
+from strandmill.llm.text import SPAN_A, U64, Words, blocks, mix, words
+from strandmill.storage import materialize, new_path, plan_bytes, release, remove
 
-WINDOW, RUN = 20, 8
-BATCHES = 3
-FAN_OUT = 2
+WINDOW, RUN = 20, 6
+BATCHES = 2
+FAN_OUT = 4
 #: Bytes of input for each bucket of the index; a bucket's anchors and windows are sorted in one task.
 BUCKET_BYTES = 16 << 20
 _LOG = "bucket int, generation int, anchors binary, docs binary, doc_id long, anchor long"
@@ -57,11 +57,9 @@ def windows(w: Words, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray,
     return start, low[start]
 
 
-def fingerprints(w: Words, start: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of independent hashes of the windows at ``start``."""
-    a = SPAN_A.slices(SPAN_A.prefix(mix(w.hashes() ^ U64(0x51ED270B9F1A3C77))), start, start + window)
-    b = SPAN_B.slices(SPAN_B.prefix(w.hashes(WORD_B)), start, start + window)
-    return a, (b >> U64(32)).astype(np.uint32)
+def fingerprints(w: Words, start: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Hash of all words of the windows at ``start``, independent of the anchors."""
+    return SPAN_A.slices(SPAN_A.prefix(mix(w.hashes() ^ U64(0x51ED270B9F1A3C77))), start, start + window)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -91,7 +89,7 @@ def collect_anchors(batches: Iterator[pa.RecordBatch], bits: int, window: int, r
             w = words(data, offsets)
             start, anchor = windows(w, window, run)
             doc = w.doc[start]
-            key = fingerprints(w, start, window)[0]
+            key = fingerprints(w, start, window)
             order = np.lexsort((key, doc))
             twice = np.zeros(len(start), bool)  # windows that their own document has twice
             twice[order] = ~_starts(doc[order], key[order])
@@ -166,54 +164,68 @@ class AnchorIndex:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Adds documents (doc_id not null, text) and returns candidates (doc_id, anchor), of this batch and of earlier ones."""
-        bits, window, run, generation = self.bits, self.window, self.run, self.generation
-        found = materialize(batch.select("doc_id", "text").mapInArrow(lambda it: collect_anchors(it, bits, window, run), _LOG), "anchors")
+        if len(self.runs) >= self.fan_out:
+            self.compact()
+        spark, bits, window, run, generation = self.spark, self.bits, self.window, self.run, self.generation
+        parts, path = new_path(spark, "anchors"), new_path(spark, "run")
+        batch.select("doc_id", "text").mapInArrow(lambda it: collect_anchors(it, bits, window, run), _LOG).write.option("compression", "zstd").parquet(parts)
+        found = spark.read.schema(_LOG).parquet(parts)
         log = found.where("bucket is not null")
         log = log.unionByName(self._log()) if self.runs else log
-        path = new_path(self.spark, "run")
         log.groupBy("bucket").applyInPandas(lambda pdf: merge_bucket(pdf, generation), _LOG).write.option("compression", "zstd").parquet(path)
-        met = self.spark.read.schema(_LOG).parquet(path)
+        met = spark.read.schema(_LOG).parquet(path)
+        out = found.unionByName(met).where("bucket is null").select("doc_id", "anchor")
+        out = materialize(out, "met")
+        remove(spark, parts)
         self.runs.append(path)
         self.generation += 1
-        out = found.where("bucket is null").select("doc_id", "anchor").unionByName(met.where("bucket is null").select("doc_id", "anchor"))
-        if len(self.runs) > self.fan_out:
-            self.compact()
+        release(spark)
         return out
 
     def compact(self) -> None:
-        """One run in place of all; the old ones stay on disk for the candidates read from them."""
+        """One run in place of all."""
         generation, path = self.generation, new_path(self.spark, "run")
         logs = self._log().select("bucket", "generation", "anchors", "docs").groupBy("bucket")
         logs.applyInPandas(lambda pdf: compact_bucket(pdf, generation), "bucket int, generation int, anchors binary, docs binary").write.option("compression", "zstd").parquet(path)
+        self.drop()
         self.runs = [path]
+        self.generation += 1
 
     def drop(self) -> None:
         for path in self.runs:
             remove(self.spark, path)
+        self.runs = []
 
 
-_FOUND = "bucket int, hashes binary, more binary, docs binary, starts binary, doc_id long, start int, length int"
+_FOUND = "bucket int, anchors binary, docs binary, starts binary, lengths binary, hashes binary, known binary"
 
 
-def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Consecutive starts of a document as (doc, first, how many)."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+def _spans(doc: np.ndarray, start: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first rows, lengths) of runs of consecutive starts of a document, of rows in ascending order."""
+    new = _starts(doc, *same)
+    new[1:] |= start[1:] != start[:-1] + 1
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(doc)) - 1
-    return doc[at], start[at], (start[last] - start[at] + 1 if len(at) else start[at])
+    return at, np.diff(np.append(at, len(doc)))
 
 
-def _repeats(h: np.ndarray, more: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (fingerprint, doc_id, start), and whether a row there is the first of its fingerprint."""
-    order = np.lexsort((start, doc, more, h))
-    return order, _starts(h[order], more[order])
+def _repeats(anchor: np.ndarray, h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are the first of their window by (doc_id, start), and the others; both ascending in doc_id and start."""
+    order = np.lexsort((start, doc, h, anchor))
+    first = np.zeros(len(order), bool)
+    first[order] = _starts(anchor[order], h[order])
+    order = np.lexsort((start, doc))
+    return order[first[order]], order[~first[order]]
+
+
+def _triples(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Spans of ascending rows as rows of (doc_id, start, length)."""
+    at, length = _spans(doc, start)
+    return np.stack([doc[at], start[at].astype(np.int64), length], 1)
 
 
 def collect_windows(batches: Iterator[pa.RecordBatch], bits: int, window: int, run: int) -> Iterator[pa.RecordBatch]:
-    """Of each Arrow batch (doc_id, text, anchors), the first of each candidate window, and spans of starts that repeat one."""
+    """Of each Arrow batch (doc_id, text, anchors), the first of each candidate window by bucket, in runs under one
+    anchor, and the spans of starts that repeat one within the batch (known)."""
     for batch in batches:
         ids, found = _ids(batch), []
         lists = batch.column("anchors")
@@ -225,28 +237,38 @@ def collect_windows(batches: Iterator[pa.RecordBatch], bits: int, window: int, r
             tag = lambda anchor, doc: mix(anchor + mix(doc + U64(1)))
             sure = np.isin(tag(anchor, w.doc[start].astype(U64)), tag(values[ends[a] : ends[b]], named))
             start, anchor = start[sure], anchor[sure]
-            h, more = fingerprints(w, start, window)
-            found.append((anchor, h, more, ids[a + w.doc[start]], (start - w.first[w.doc[start]]).astype(np.int32)))
+            found.append((anchor, fingerprints(w, start, window), ids[a + w.doc[start]], (start - w.first[w.doc[start]]).astype(np.int32)))
         if not found:
             continue
-        anchor, h, more, doc, start = map(np.concatenate, zip(*found, strict=True))
-        order, first = _repeats(h, more, doc, start)
-        rest, order = order[~first], order[first]
-        order = order[np.lexsort((start[order], doc[order], anchor[order] >> U64(64 - bits)))]
-        logs = [(k, *(x[order][s].tobytes() for x in (h, more, doc, start))) for k, s in _by_bucket(anchor[order] >> U64(64 - bits) << U64(64 - bits), bits)]
-        spans = _spans(doc[rest], start[rest])
-        n, m = len(logs), len(spans[0])
-        yield pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in logs] + [None] * m, pa.int32()), *(pa.array([x[k] for x in logs] + [None] * m, pa.binary()) for k in (1, 2, 3, 4)),
-            *(pa.concat_arrays([pa.nulls(n, t), pa.array(x, t)]) for x, t in zip(spans, (pa.int64(), pa.int32(), pa.int32()), strict=True)),
-        ], ["bucket", "hashes", "more", "docs", "starts", "doc_id", "start", "length"])
+        anchor, h, doc, start = map(np.concatenate, zip(*found, strict=True))
+        first, rest = _repeats(anchor, h, doc, start)
+        at, length = _spans(doc[first], start[first], anchor[first])
+        head = first[at]
+        order = np.argsort(anchor[head] >> U64(64 - bits), kind="stable")
+        at, length, head = at[order], length[order], head[order]
+        each = first[np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        short = np.ascontiguousarray(h[each]).view(np.uint16).reshape(-1, 4)[:, :3]
+        upto = np.append(0, np.cumsum(length))
+        rows = [
+            (k, *(x[head[s]].tobytes() for x in (anchor, doc, start)), length[s].astype(np.int32).tobytes(), short[upto[s.start] : upto[s.stop]].tobytes(), b"")
+            for k, s in _by_bucket(anchor[head] >> U64(64 - bits) << U64(64 - bits), bits)
+        ]
+        rows.append((int(mix(ids[:1].astype(U64))[0] >> U64(64 - bits)), b"", b"", b"", b"", b"", _triples(doc[rest], start[rest]).tobytes()))
+        names = ["bucket", "anchors", "docs", "starts", "lengths", "hashes", "known"]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.binary() if k else pa.int32()) for k in range(len(names))], names)
 
 
 def verify_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    h, more, doc, start = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("hashes", U64), ("more", np.uint32), ("docs", np.int64), ("starts", np.int32)))
-    order, first = _repeats(h, more, doc, start)
-    rest = order[~first]
-    return pd.DataFrame(dict(zip(("doc_id", "start", "length"), _spans(doc[rest], start[rest]), strict=True)))
+    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+    length = read("lengths", np.int32).astype(np.int64)
+    each = np.repeat(np.arange(len(length)), length)
+    step = np.arange(len(each)) - np.repeat(np.cumsum(length) - length, length)
+    anchor, doc, start = read("anchors", U64)[each], read("docs", np.int64)[each], read("starts", np.int32)[each] + step
+    h = np.zeros((len(each), 4), np.uint16)
+    h[:, :3] = read("hashes", np.uint16).reshape(-1, 3)
+    _, rest = _repeats(anchor, h.view(U64)[:, 0], doc, start)
+    out = np.concatenate([_triples(doc[rest], start[rest]), read("known", np.int64).reshape(-1, 3)])
+    return pd.DataFrame({"doc_id": out[:, 0], "start": out[:, 1].astype(np.int32), "length": out[:, 2].astype(np.int32)})
 
 
 def repeated_windows(documents: DataFrame, window: int = WINDOW, run: int = RUN, batches: int = BATCHES, fan_out: int = FAN_OUT, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -261,11 +283,12 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, run: int = RUN,
         part = docs.where(F.lit(True) if not k else F.col("doc_id") > edges[k - 1]).where(F.lit(True) if k == len(edges) else F.col("doc_id") <= edges[k])
         found = index.add(part)
         candidates = found if candidates is None else candidates.unionByName(found)
-    anchors = candidates.distinct().groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    index.drop()
+    anchors = candidates.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
     found = docs.join(anchors, "doc_id").select("doc_id", "text", "anchors").mapInArrow(lambda it: collect_windows(it, bits, window, run), _FOUND)
-    found = materialize(found, "windows")
-    met = found.where("bucket is not null").select("bucket", "hashes", "more", "docs", "starts").groupBy("bucket").applyInPandas(verify_bucket, "doc_id long, start int, length int")
-    spans = found.where("bucket is null").select("doc_id", "start", "length").unionByName(met)
+    spans = found.groupBy("bucket").applyInPandas(verify_bucket, "doc_id long, start int, length int")
+    spans = materialize(spans, "spans")
+    release(spark)
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
