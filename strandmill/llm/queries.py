@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, minhash, mixing, records, substring
+from strandmill.llm import bpe, langid, minhash, mixing, records, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,12 +38,17 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(_documents(spark, sf_dir), _tokenizer())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_records": op9_token_records,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
