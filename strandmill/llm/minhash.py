@@ -149,9 +149,10 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, least: float = SIMI
     pivots = materialize(ranked.select("key", (-F.col("top.minus")).alias("a")), "pivots")
     spokes = materialize(members.join(pivots, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "spokes")
     ids = spokes.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = materialize(docs.where("text is not null").join(ids, "id", "left_semi").select("id", "text").distinct(), "candidates")
-    both = spokes.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    # texts are merge-joined at any size: a plan that broadcasts ids while they are few tells nothing of a larger corpus
+    texts = materialize(docs.where("text is not null").join(ids.hint("merge"), "id", "left_semi").select("id", "text").distinct(), "candidates")
+    both = spokes.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = both.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     spokes = materialize(both.mapInArrow(lambda it: verify(it, width), "a long, b long, similarity double"), "verified")
     near = spokes.where(F.col("similarity") >= least).select("a", "b")
 
