@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, imatch, langid, lines, minhash, mixing, records, substring
+from strandmill.llm import bpe, imatch, langid, lines, minhash, mixing, neighbours, records, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op2_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 100 == 0)
+
+
 def op3_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_edited(_documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_hilbert_neighbours": op2_hilbert_neighbours,
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
