@@ -22,10 +22,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back with the same schema."""
+def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back with the same schema; ``files``: of small tables, how many at most."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    df = df if files is None else df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
