@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strandmill.storage import materialize
 
+#: Rounds never add links, so their tables have as few files as the first one needs.
+LINKS_A_FILE = 500_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id of the component of every id in ``links`` (a, b).
@@ -17,6 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = materialize(edges, "links")
+    files = edges.count() // LINKS_A_FILE + 1
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.where("u <> v").distinct(), "links")
+        edges = materialize(small.where("u <> v").distinct(), "links", files)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

@@ -59,7 +59,7 @@ def mix(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     rows = materialize(rows, "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     plan = plan.withColumn("passes", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
-    plan = materialize(plan.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "plan")
+    plan = materialize(plan.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "plan", 1)
 
     edge = plan.select(F.col("source").alias("s"), "budget", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("prefix"))
     shift = BITS
@@ -70,7 +70,7 @@ def mix(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
         upto = F.col("base") + F.sum("words").over(Window.partitionBy("s").orderBy("bin"))
         edge = bins.withColumn("upto", upto).where("upto > budget")
         edge = edge.groupBy("s", "budget").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("base"))).alias("e"))
-        edge = materialize(edge.select("s", "budget", F.col("e.base").alias("base"), F.col("e.bin").alias("prefix")), "edge")
+        edge = materialize(edge.select("s", "budget", F.col("e.base").alias("base"), F.col("e.bin").alias("prefix")), "edge", 1)
 
     known = plan.join(edge.drop("budget"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "passes", "budget", "base", "prefix")
     out = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("side", F.shiftright("h", shift) - F.col("prefix"))

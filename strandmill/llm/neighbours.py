@@ -149,7 +149,7 @@ def ranks(points_: DataFrame, grids: Grids) -> DataFrame:
     # a row for each ordering and range
     starts = rows.groupBy("ordering", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("ordering").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialize(starts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "starts")
+    starts = materialize(starts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "starts", 1)
     return rows.join(starts, ["ordering", "part"]).select("ordering", "rep", (F.col("place") - F.col("first") + F.col("before")).alias("rank"))
 
 
@@ -159,7 +159,7 @@ def calibrate(points_: DataFrame, ranked: DataFrame, queries: DataFrame, k: int,
     if not some:
         return LEAST_WINDOW
     truth = brute_force(points_, np.array([r["rep"] for r in some]), np.array([r["vector"] for r in some]), k)
-    truth = materialize(truth, "truth")
+    truth = materialize(truth, "truth", 1)
     own = ranked.select("ordering", F.col("rep").alias("query"), F.col("rank").alias("at"))
     apart = truth.join(own, "query").join(ranked, ["ordering", "rep"]).groupBy("query", "rep").agg(F.min(F.abs(F.col("rank") - F.col("at"))).alias("apart"))
     need = apart.agg(F.percentile("apart", wished)).first()[0]
