@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandmill.llm import bpe, imatch, langid, lines, minhash, mixing, neighbours, records, substring
+from strandmill.llm import bpe, imatch, langid, lines, minhash, mixing, neighbours, quality, records, substring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_digest(_documents(spark, sf_dir))
 
 
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select_quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_imatch_fingerprints": op3_imatch_fingerprints,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_resampling": op6_quality_resampling,
     "op7_mix_sources": op7_mix_sources,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_records": op9_token_records,
