@@ -347,7 +347,7 @@ def decode(merges: Merges, ids: np.ndarray, at_once: int = 1 << 16) -> Iterator[
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full: bool) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(load(path)))
     for batch in batches:
         column = batch.column("text")
@@ -362,13 +362,16 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full:
                 rows[0].append(len(ids))
                 rows[1].append(hashlib.sha256(raw).hexdigest())
                 rows[2].append(digest.hexdigest())
-                if full:
+                if "ids" in full:
                     rows[3].append(ids.astype(np.int32))
+                if "decoded" in full:
                     rows[4].append("".join(parts))
         out = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-        if full:
-            out += [pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.string())]
-        names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"] * full]
+        if "ids" in full:
+            out.append(pa.array(rows[3], pa.list_(pa.int32())))
+        if "decoded" in full:
+            out.append(pa.array(rows[4], pa.string()))
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", *full]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, *names])
 
 
@@ -380,5 +383,14 @@ def encode_decode(documents: DataFrame, path: str, full: bool = True) -> DataFra
     encoded each, and other columns are not read. ``StreamEncoder`` takes a text in parts, in constant memory.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    more = ("ids", "decoded") if full else ()
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    return rows.mapInArrow(lambda it: _encode(it, path, ["doc_id"], full), schema)
+    return rows.mapInArrow(lambda it: _encode(it, path, ["doc_id"], more), schema)
+
+
+def with_ids(documents: DataFrame, path: str) -> DataFrame:
+    """``documents`` as a struct of that name, with n_tokens, ids_sha256, decoded_sha256 and ids."""
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"), "text")
+    kind = rows.schema["document"].dataType.simpleString()
+    schema = f"document {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    return rows.mapInArrow(lambda it: _encode(it, path, ["document"], ("ids",)), schema)

@@ -158,7 +158,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, allowed=None)
     return fit([t for t, _ in pairs], [lang for _, lang in pairs]) if pairs else None
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, filtering: list[str] | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
         if model is None:
@@ -167,7 +167,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator
             p = model.scores(batch.column("text"))
             lang = np.where(letters, np.array(model.languages, object)[p.argmax(1)], UNKNOWN).tolist()
             score = np.where(letters, p.max(1), 0.0)
-        known = score >= (model.threshold if model else 1.0)
+        known = score >= (model.threshold if model else 0.0)
+        if filtering:
+            yield batch.filter(pa.array(known & letters)).select(batch.schema.names[:-2]).rename_columns(filtering)
+            continue
         names = [n for n in batch.schema.names if n not in ("text", "letters")]
         out = [batch.column(n) for n in names] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known & letters)]
         yield pa.RecordBatch.from_arrays(out, [*names, "lang_pred", "score", "accepted"])
@@ -177,12 +180,19 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """One row per row: doc_id, lang_pred, score, accepted (not rejected), from the whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is a score below the model's
-    threshold, which keeps lang_pred. Without a model all is ``und``. No shuffle; other columns are not read.
+    threshold, which keeps lang_pred. Without a model all is ``und``, and what has a letter is accepted. No shuffle; other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(~F.col("text").rlike(NO_LETTER), F.lit(False)).alias("letters"))
     return rows.mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
+def accepted(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``documents`` that are not rejected, with all their columns, whatever these are called."""
+    names = documents.columns
+    rows = documents.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)], F.col("text"), F.coalesce(~F.col("text").rlike(NO_LETTER), F.lit(False)).alias("letters"))
+    return rows.mapInArrow(lambda it: _predict(it, model, names), documents.schema)
+
+
 def held_out(doc_id):
     """Whether crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

@@ -197,3 +197,12 @@ def near_duplicates(documents: DataFrame, least: float = SIMILARITY, width: int
     classes = tie.groupBy("id").agg(F.min("root").alias("root"))
     out = docs.select("id").join(classes, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "id").alias("class_id"))
     return out.withColumn("keep", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def one_of_each(documents: DataFrame, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """The rows of ``documents`` that stay, with all their columns: of each class that of the smallest doc_id, once,
+    and all rows without a doc_id."""
+    kept = near_duplicates(documents, least, width).where("keep and doc_id is not null").select(F.col("doc_id").alias("kept")).distinct()
+    rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"))
+    once = rows.join(kept.hint("merge"), F.col("id") == F.col("kept")).dropDuplicates(["id"])
+    return once.select("document.*").unionByName(rows.where("id is null").select("document.*"))

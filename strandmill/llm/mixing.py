@@ -47,7 +47,7 @@ def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP, weights:
 
 
 def mix(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), and the columns ``keep``.
+    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), copies, and the columns ``keep``.
 
     Rows are taken by the hash of their doc_id, so reruns agree. A null text has no words; a null source is a
     source of its own, the last; rows without an id share one hash and are told apart one by one, as are repeated
@@ -78,7 +78,15 @@ def mix(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     order = Window.partitionBy("s").orderBy("h", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     spent = F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0))
     last = out.where("side = 0").withColumn("extra", F.when(spent + F.col("size") / 2 <= F.col("budget"), 1).otherwise(0))
-    return clear.unionByName(last).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("extra"))).alias("taken"), *keep)
+    out = clear.unionByName(last).withColumn("copies", F.col("passes") + F.col("extra"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *keep)
+
+
+def mixed(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of ``documents`` as often as the mix takes them, with all their columns, whatever these are called."""
+    rows = documents.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"))
+    out = mix(rows, share, cap, weights, ("document",)).where("copies > 0")
+    return out.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")
 
 
 ORACLE = r"""

@@ -39,7 +39,7 @@ def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir))
+    return mixing.mix(_documents(spark, sf_dir)).drop("copies")
 
 
 def _tokenizer() -> str:
