@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.bpe import Encoder, load
+from strandmill.llm.bpe import Encoder, byte_alphabet, load
 from strandmill.storage import materialize, new_path, plan_bytes
 
 END_ID = 2
@@ -120,16 +121,18 @@ def unframe(raw: np.ndarray, offsets: np.ndarray, dtype: str) -> tuple[np.ndarra
 
 
 def library_encoder(path: str) -> Encoder:
-    """Pieces are encoded by the tokenizers library, each distinct piece once while it is remembered."""
+    """Each distinct piece is encoded by the tokenizers library's model, once while it is remembered.
+
+    The model takes a piece as the library's byte-level step hands it over: each byte as its printable stand-in.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
+    tokenize = Tokenizer.from_file(path).model.tokenize
+    shown = {b: c for c, b in byte_alphabet().items()}
 
     def missing(pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))]).tobytes() for p in pieces]
 
     return Encoder(load(path), missing)
 
