@@ -15,14 +15,14 @@ BASES = "ACGT"
 def read_stats(reads: DataFrame) -> DataFrame:
     """n_reads, lmin, lmax, n_bases, gc."""
     gc = F.length(F.regexp_replace("seq", "[^CG]", ""))
-    return reads.agg(F.count("*").alias("n_reads"), F.min(F.length("seq")).alias("lmin"), F.max(F.length("seq")).alias("lmax"), F.sum(F.length("seq")).alias("n_bases"), (F.sum(gc) / F.sum(F.length("seq"))).alias("gc"))
+    return reads.agg(F.count("*").alias("n_reads"), F.min(F.length("seq")).alias("lmin"), F.max(F.length("seq")).alias("lmax"), F.sum(F.length("seq")).alias("n_bases"), F.try_divide(F.sum(gc).cast("double"), F.sum(F.length("seq")).cast("double")).alias("gc"))
 
 
 def background(reads: DataFrame) -> DataFrame:
     """(base, n, q) of the forward strand, summed per read before any row is made."""
     counts = reads.agg(*[F.coalesce(F.sum(S.base_counts(F.col("seq"))[i]), F.lit(0)).cast("long").alias(b) for i, b in enumerate(BASES)])
     total = sum((F.col(b) for b in BASES), F.lit(0))
-    rows = F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n"), (F.col(b) / total).alias("q")) for b in BASES])
+    rows = F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n"), F.try_divide(F.col(b).cast("double"), total.cast("double")).alias("q")) for b in BASES])
     return counts.select(F.inline(rows))
 
 

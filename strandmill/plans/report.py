@@ -11,7 +11,7 @@ from strandmill.functions.alphabet import FROM_MASK, MASK
 
 def normalize(m: DataFrame) -> DataFrame:
     """(motif, col, base, p) with columns to sum 1."""
-    return m.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy("motif", "col")))
+    return m.withColumn("p", F.try_divide("p", F.sum("p").over(Window.partitionBy("motif", "col"))))
 
 
 def information(m: DataFrame, q: float = 0.25) -> DataFrame:
@@ -22,7 +22,7 @@ def information(m: DataFrame, q: float = 0.25) -> DataFrame:
 
 def log_odds(m: DataFrame, q: float = 0.25) -> DataFrame:
     """Adds log_odds and affinity (share of the column's largest)."""
-    return m.withColumn("log_odds", F.log2(F.col("p") / q)).withColumn("affinity", F.col("p") / F.max("p").over(Window.partitionBy("motif", "col")))
+    return m.withColumn("log_odds", F.log2(F.col("p") / q)).withColumn("affinity", F.try_divide("p", F.max("p").over(Window.partitionBy("motif", "col"))))
 
 
 def maximum(m: DataFrame, q: float = 0.25) -> DataFrame:

@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one for the application."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="strandmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="strandmill-"))
     return path.rstrip("/")
 
 
