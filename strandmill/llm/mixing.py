@@ -58,7 +58,7 @@ def mix(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     rows = documents.select("doc_id", "source", *keep, size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))
     rows = materialize(rows, "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
-    plan = plan.withColumn("passes", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long"))
+    plan = plan.withColumn("passes", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
     plan = materialize(plan.withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size")), "plan", 1)
 
     edge = plan.select(F.col("source").alias("s"), "budget", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("prefix"))
