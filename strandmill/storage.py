@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
@@ -42,8 +43,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Size of the input as the optimizer estimates it (file sizes for plain scans)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the input as the optimizer estimates it from file sizes; where it can't (rows from memory), that of its strings."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 60:
+        return size
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    total = df.agg(*[F.sum(F.octet_length(F.col(f"`{c}`"))) for c in texts], F.count("*")).first()
+    return sum(x or 0 for x in total)
 
 
 def release(spark: SparkSession) -> None:
