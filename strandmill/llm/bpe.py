@@ -36,8 +36,8 @@ AGREED = re.compile("[^\x00-ԯऀ-௿฀-࿿Ḁ-⁯₠-⯿　-鿿가-힣＀-￯\
 #: A space after white space: then a text is not cut at its spaces.
 _NO_CUT = re.compile(r"\s ")
 LOCKSTEP = 32
-#: Words, and pieces, remembered by a worker; about 150 MB each.
-REMEMBERED = 700_000
+#: Words remembered by a worker, and half as many pieces; about 250 MB.
+REMEMBERED = 1_000_000
 _NONE = np.int64(1) << 40
 
 
@@ -227,22 +227,48 @@ def load(path: str) -> Merges:
     return Merges(path)
 
 
+class Memo(dict):
+    """Remembers what ``one`` makes of a key. ``age`` makes all keys old ones if there are too many; old keys are
+    forgotten with the next ageing, unless they are met again."""
+
+    def __init__(self, one: Callable[[str], bytes] | None):
+        super().__init__()
+        self.one = one
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        self[key] = value = self.one(key) if value is None else value
+        return value
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
+    def new(self, keys: set[str]) -> list[str]:
+        """Those of some keys that are not known; old ones become young."""
+        keys.difference_update(self)
+        back = keys & self.old.keys() if self.old else ()
+        for k in back:
+            self[k] = self.old[k]
+        return list(keys.difference(back))
+
+
 class Encoder:
     """Texts to ids.
 
     A space between two characters that are no white space always begins a piece. So where a text has only
     such spaces, it is cut there, and whole words (with what leans on them) are remembered, which costs one lookup a
-    word; other texts are cut by the pattern. ``missing`` encodes pieces that are not remembered, ``missing_words``
-    strings of several pieces.
+    word; other texts are cut by the pattern. ``one`` encodes a piece when it is met; without it the new pieces of
+    many texts go through the transducer together.
     """
 
-    def __init__(self, merges: Merges, missing: Callable[[list[str]], list[bytes]] | None = None, missing_words: Callable[[list[str]], list[bytes]] | None = None, remembered: int = REMEMBERED):
-        self.m, self.remembered = merges, remembered
-        self.missing = missing or (lambda pieces: merges.encode_many([p.encode() for p in pieces]))
-        self.missing_words = missing_words or (lambda words: self.encode_pieces([self._cut(w) for w in words]))
+    def __init__(self, merges: Merges, one: Callable[[str], bytes] | None = None, remembered: int = REMEMBERED):
+        self.m, self.remembered, self.one = merges, remembered, one
         self.pattern = regex.compile(PATTERN)
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # by the word without the space before it
+        self.memo = Memo(one)
+        self.words = Memo(lambda w: b"".join(map(self.memo.__getitem__, self._cut(" " + w))))  # by the word without the space before it
         self.cut_by_library = None
 
     def _cut(self, text: str) -> list[str]:
@@ -272,23 +298,22 @@ class Encoder:
         heads = self.encode_pieces([self.pieces(w[0]) for w in cut])
         for w in cut:
             w[0] = ""
-        if len(self.words) > self.remembered:
-            self.words.clear()
+        self.words.age(self.remembered // 2)
         self.words[""] = b""
-        new = list(set().union(*cut).difference(self.words)) if cut else []
-        self.words.update(zip(new, self.missing_words([" " + w for w in new]), strict=True))
+        if self.one is None and cut:
+            new = self.words.new(set().union(*cut))
+            self.words.update(zip(new, self.encode_pieces([self._cut(" " + w) for w in new]), strict=True))
         get = self.words.__getitem__
         fast = iter([h + b"".join(map(get, w)) for h, w in zip(heads, cut, strict=True)])
         slow = iter(self.encode_pieces([self.pieces(t) for t, p in zip(texts, plain, strict=True) if not p]))
         return [next(fast if p else slow) for p in plain]
 
     def encode_pieces(self, cut: list[list[str]]) -> list[bytes]:
-        if len(self.memo) > self.remembered:
-            self.memo.clear()
-        if not self.memo:
-            self.memo.update((t, np.array([i], "<u4").tobytes()) for t, i in self.m.added.items())
-        new = list(set().union(*cut).difference(self.memo)) if cut else []
-        self.memo.update(zip(new, self.missing(new), strict=True))
+        self.memo.age(self.remembered // 4)
+        self.memo.update((t, np.array([i], "<u4").tobytes()) for t, i in self.m.added.items())
+        if self.one is None and cut:
+            new = self.memo.new(set().union(*cut))
+            self.memo.update(zip(new, self.m.encode_many([p.encode() for p in new]), strict=True))
         get = self.memo.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -370,8 +395,8 @@ def decode(merges: Merges, ids: np.ndarray, at_once: int = 1 << 16) -> Iterator[
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(load(path)))
+def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full: tuple[str, ...], remembered: int = REMEMBERED) -> Iterator[pa.RecordBatch]:
+    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(load(path), remembered=remembered))
     for batch in batches:
         column = batch.column("text")
         rows = [[] for _ in range(5)]
@@ -411,9 +436,9 @@ def encode_decode(documents: DataFrame, path: str, full: bool = True) -> DataFra
     return rows.mapInArrow(lambda it: _encode(it, path, ["doc_id"], more), schema)
 
 
-def with_ids(documents: DataFrame, path: str) -> DataFrame:
+def with_ids(documents: DataFrame, path: str, remembered: int = REMEMBERED // 3) -> DataFrame:
     """``documents`` as a struct of that name, with n_tokens, ids_sha256, decoded_sha256 and ids."""
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"), "text")
     kind = rows.schema["document"].dataType.simpleString()
     schema = f"document {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
-    return rows.mapInArrow(lambda it: _encode(it, path, ["document"], ("ids",)), schema)
+    return rows.mapInArrow(lambda it: _encode(it, path, ["document"], ("ids",), remembered), schema)

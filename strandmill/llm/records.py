@@ -131,10 +131,10 @@ def library_encoder(path: str) -> Encoder:
     tokenize = Tokenizer.from_file(path).model.tokenize
     shown = {b: c for c, b in byte_alphabet().items()}
 
-    def missing(pieces: list[str]) -> list[bytes]:
-        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(shown))]).tobytes() for p in pieces]
+    def one(piece: str) -> bytes:
+        return array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(shown))]).tobytes()
 
-    return Encoder(load(path), missing)
+    return Encoder(load(path), one)
 
 
 _ENCODERS: dict[str, Encoder] = {}
