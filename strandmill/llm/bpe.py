@@ -35,6 +35,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 AGREED = re.compile("[^\x00-ԯऀ-௿฀-࿿Ḁ-⁯₠-⯿　-鿿가-힣＀-￯\U0001f300-\U0001faff]")
 #: A space after white space: then a text is not cut at its spaces.
 _NO_CUT = re.compile(r"\s ")
+#: Signs that often end a word.
+_SIGNS = frozenset(".,;:!?|")
 LOCKSTEP = 32
 #: Words remembered by a worker, and half as many pieces; about 250 MB.
 REMEMBERED = 1_000_000
@@ -268,9 +270,18 @@ class Encoder:
         self.m, self.remembered, self.one = merges, remembered, one
         self.pattern = regex.compile(PATTERN)
         self.memo = Memo(one)
-        self.words = Memo(lambda w: b"".join(map(self.memo.__getitem__, self._cut(" " + w))))  # by the word without the space before it
+        self.words = Memo(self._word)  # by the word without the space before it
         self.cut_by_library = None
 
+    def _word(self, w: str) -> bytes:
+        """A word of letters is one piece with the space before it; one that a sign ends is two."""
+        if w.isascii() or not AGREED.search(w):
+            if w.isalpha():
+                return self.one(" " + w)
+            if w[-1:] in _SIGNS and w[:-1].isalpha():
+                return self.words[w[:-1]] + self.memo[w[-1]]
+        return b"".join(map(self.memo.__getitem__, self._cut(" " + w)))
+
     def _cut(self, text: str) -> list[str]:
         if text.isascii() or not AGREED.search(text):
             return self.pattern.findall(text)

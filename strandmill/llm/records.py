@@ -14,6 +14,7 @@ of their own, and only shards of the manifest count, so a lost or repeated task
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -146,6 +147,7 @@ def id_type(path: str) -> str:
 
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, library_encoder(path))
+    gc.disable()  # what is remembered has no cycles, and would be searched for them again and again
     dtype, part = id_type(path), TaskContext.get().partitionId()
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
