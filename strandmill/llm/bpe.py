@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.text import U64, Poly, mix
+from strandmill.llm.text import U64, Poly, mix, tidied
 
 #: The split pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -406,32 +406,32 @@ def decode(merges: Merges, ids: np.ndarray, at_once: int = 1 << 16) -> Iterator[
 _ENCODERS: dict[str, Encoder] = {}
 
 
+@tidied
 def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full: tuple[str, ...], remembered: int = REMEMBERED) -> Iterator[pa.RecordBatch]:
-    encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(load(path), remembered=remembered))
-    for batch in batches:
-        column = batch.column("text")
-        rows = [[] for _ in range(5)]
-        for at in range(0, len(column), 256):
-            for raw in encoder.encode([t or "" for t in column.slice(at, 256).to_pylist()]):
+    # beside other stages a worker has less memory, and then nothing is remembered from task to task
+    encoder = Encoder(load(path), remembered=remembered) if remembered < REMEMBERED else _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(load(path)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            rows = [[] for _ in range(5)]
+            for raw in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
                 ids = np.frombuffer(raw, "<u4")
-                parts = list(decode(encoder.m, ids))
-                digest = hashlib.sha256()
-                for part in parts:
+                digest, parts = hashlib.sha256(), []
+                for part in decode(encoder.m, ids):
                     digest.update(part.encode())
+                    if "decoded" in full:
+                        parts.append(part)
                 rows[0].append(len(ids))
                 rows[1].append(hashlib.sha256(raw).hexdigest())
                 rows[2].append(digest.hexdigest())
-                if "ids" in full:
-                    rows[3].append(ids.astype(np.int32))
-                if "decoded" in full:
-                    rows[4].append("".join(parts))
-        out = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
-        if "ids" in full:
-            out.append(pa.array(rows[3], pa.list_(pa.int32())))
-        if "decoded" in full:
-            out.append(pa.array(rows[4], pa.string()))
-        names = ["n_tokens", "ids_sha256", "decoded_sha256", *full]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, *names])
+                rows[3].append(ids.astype(np.int32) if "ids" in full else None)
+                rows[4].append("".join(parts))
+            out = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+            if "ids" in full:
+                out.append(pa.array(rows[3], pa.list_(pa.int32())))
+            if "decoded" in full:
+                out.append(pa.array(rows[4], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *full])
 
 
 def encode_decode(documents: DataFrame, path: str, full: bool = True) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.text import IS_SPACE, blocks
+from strandmill.llm.text import IS_SPACE, blocks, tidied
 
 #: Bounds of what is fitted: labelled documents of each language, and characters of a training document, of which
 #: evenly spaced windows are taken from its whole length. Predictions read whole texts.
@@ -158,6 +158,7 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, allowed=None)
     return fit([t for t, _ in pairs], [lang for _, lang in pairs]) if pairs else None
 
 
+@tidied
 def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, filtering: list[str] | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.components import components
-from strandmill.llm.text import U64, bags, blocks, mix, shingles, stream, words
+from strandmill.llm.text import U64, bags, blocks, mix, shingles, stream, tidied, words
 from strandmill.storage import materialize
 
 WIDTH = 5
@@ -69,6 +69,7 @@ def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.stack(keys, 1).view(np.int64)
 
 
+@tidied
 def sign(batches: Iterator[pa.RecordBatch], bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     """(id, text, ...) to (id, digest, keys); keys is null for texts without words."""
     for batch in batches:
@@ -99,6 +100,7 @@ def _bag(text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
     return bags(doc, h)[1:]
 
 
+@tidied
 def verify(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to (a, b, similarity)."""
     last, bag = None, None
@@ -113,6 +115,7 @@ def verify(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([a, b, pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+@tidied
 def compare_blocks(batches: Iterator[pa.RecordBatch], least: float, width: int) -> Iterator[pa.RecordBatch]:
     """All texts of a far block against all of a block of members: links (a, b) between different classes."""
     for batch in batches:

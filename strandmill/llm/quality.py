@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.text import IS_SPACE, U64, WORD_A, blocks, mix
+from strandmill.llm.text import IS_SPACE, U64, WORD_A, blocks, mix, tidied
 from strandmill.storage import materialize
 
 FEATURES = 1 << 16
@@ -74,6 +74,7 @@ class Ratio:
         return out
 
 
+@tidied
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each feature and task: how often all texts, and good texts, have it."""
     raw, target = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)
@@ -114,6 +115,7 @@ def sortable(x: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, ~bits ^ np.int64(-(1 << 63)), bits)
 
 
+@tidied
 def _score(batches: Iterator[pa.RecordBatch], ratio: Ratio) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         weight = ratio.weights(batch.column("text"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.bpe import Encoder, byte_alphabet, load
+from strandmill.llm.text import tidied
 from strandmill.storage import materialize, new_path, plan_bytes
 
 END_ID = 2
@@ -145,6 +146,7 @@ def id_type(path: str) -> str:
     return "<u2" if len(load(path).bytes) <= 1 << 16 else "<u4"
 
 
+@tidied
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, library_encoder(path))
     gc.disable()  # what is remembered has no cycles, and would be searched for them again and again
@@ -184,6 +186,7 @@ def write_records(documents: DataFrame, path: str, folder: str, end_id: int = EN
     return materialize(rows.mapInArrow(lambda it: _write(it, path, folder, end_id), "part int, name string, n_docs long, n_tokens long"), "manifest")
 
 
+@tidied
 def _read(batches: Iterator[pa.RecordBatch], folder: str, dtype: str) -> Iterator[pa.RecordBatch]:
     store, root = fs.FileSystem.from_uri(folder)
     for batch in batches:

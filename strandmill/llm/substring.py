@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.text import SPAN_A, U64, Words, blocks, mix, words
+from strandmill.llm.text import SPAN_A, U64, Words, blocks, mix, tidied, words
 from strandmill.storage import materialize, new_path, plan_bytes, release, remove
 
 WINDOW, RUN = 20, 6
@@ -81,6 +81,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)
 
 
+@tidied
 def collect_anchors(batches: Iterator[pa.RecordBatch], bits: int, window: int, run: int) -> Iterator[pa.RecordBatch]:
     """Of each Arrow batch, each anchor once with one of its documents; rows (doc_id, anchor) where it repeats."""
     for batch in batches:
@@ -223,6 +224,7 @@ def _triples(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.stack([doc[at], start[at].astype(np.int64), length], 1)
 
 
+@tidied
 def collect_windows(batches: Iterator[pa.RecordBatch], bits: int, window: int, run: int) -> Iterator[pa.RecordBatch]:
     """Of each Arrow batch (doc_id, text, anchors), the first of each candidate window by bucket, in runs under one
     anchor, and the spans of starts that repeat one within the batch (known)."""
@@ -292,6 +294,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, run: int = RUN,
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
 
 
+@tidied
 def _cut(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("spans")
