@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     learn.add_argument("--unique", type=int, help="drop reads within this many mismatches of a kept one")
     learn.add_argument("--unbound", help="write the reads that no motif claims")
     learn.add_argument("--flanks", action="store_true")
+    learn.add_argument("--no-visualizations", action="store_true")
     dist = sub.add_parser("distances", help="all pairwise Huddinge distances")
     dist.add_argument("reads")
     dist.add_argument("output", help="Parquet, or with --packed one binary file")
@@ -113,6 +114,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     report.cob_table(spark, result.state).coalesce(1).write.mode("overwrite").parquet(f"{out}/cob")
     for k, t in enumerate(result.state.models):
         writers.write_bytes(spark, f"{out}/{names[k] if names else f'motif{k}'}.svg", report.logo_svg(em.ppm(t)).encode())
+    writers.write_bytes(spark, f"{out}/report.html", report.html(result, cfg, names, not args.no_visualizations).encode())
     if args.flanks:
         for k, m in enumerate(em.flanks(reads, result.state, cfg)):
             writers.write_bytes(spark, f"{out}/flank-{k}.pfm", writers.matrix_text(m).encode())

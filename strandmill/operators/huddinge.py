@@ -74,15 +74,21 @@ def block_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x != 0).sum(1)[:, None], (y != 0).sum(1)[None, :]).astype(np.int16) - best
 
 
+def _packed_pairs(reads: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Pairs of blocks of reads, a row each; blocks by a hash of the id."""
+    n = max(1, -(-reads.count() // block))
+    packed = reads.groupBy(F.pmod(F.xxhash64("read_id"), F.lit(n)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("read_id", "seq"))).alias("rows"))
+    pairs = packed.selectExpr("b as p", "rows as left").join(packed.selectExpr("b as q", "rows as right"), F.col("p") >= F.col("q"))
+    return pairs.repartition(max(n, 2), "p", "q"), n
+
+
 def all_pairs(reads: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, j, dist), i > j, of (read_id, seq): every pair is wanted, so the rows of the result are the square of the input's.
 
-    Reads are packed to blocks by a hash of their id; each pair of blocks is one row, and its distances are computed
-    together. So the join moves (reads / block)^2 rows, not reads^2.
+    Reads are packed to blocks; each pair of blocks is one row, and its distances are computed together. So the join
+    moves (reads / block)^2 rows, not reads^2.
     """
-    n = max(1, -(-reads.count() // block))
-    packed = reads.groupBy(F.pmod(F.xxhash64("read_id"), F.lit(n)).alias("b")).agg(F.sort_array(F.collect_list(F.struct("read_id", "seq"))).alias("rows"))
-    pairs = packed.selectExpr("b as p", "rows as left").join(packed.selectExpr("b as q", "rows as right"), F.col("p") >= F.col("q"))
+    pairs, _ = _packed_pairs(reads, block)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -94,7 +100,26 @@ def all_pairs(reads: DataFrame, block: int = BLOCK) -> DataFrame:
                 a, b = ids[0][i[keep]], ids[1][j[keep]]
                 yield pd.DataFrame({"i": np.maximum(a, b), "j": np.minimum(a, b), "dist": d[keep].astype(np.int8)})
 
-    return pairs.repartition(max(n, 2), "p", "q").mapInPandas(compare, "i long, j long, dist tinyint")
+    return pairs.mapInPandas(compare, "i long, j long, dist tinyint")
+
+
+def all_alignments(reads: DataFrame, block: int = 64) -> DataFrame:
+    """(i, j, dist, shift), i > j: the best offsets of i against j, a row for each."""
+    pairs, _ = _packed_pairs(reads, block)
+
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for p, q, left, right in zip(pdf["p"], pdf["q"], pdf["left"], pdf["right"], strict=True):
+                out = []
+                for x in left:
+                    for y in right:
+                        if x["read_id"] > y["read_id"] or (p != q and x["read_id"] != y["read_id"]):
+                            a, b = (x, y) if x["read_id"] > y["read_id"] else (y, x)
+                            d, offsets = alignments(a["seq"], b["seq"])
+                            out += [(a["read_id"], b["read_id"], d, o) for o in offsets]
+                yield pd.DataFrame(out, columns=["i", "j", "dist", "shift"])
+
+    return pairs.mapInPandas(align, "i long, j long, dist int, shift int")
 
 
 def neighbourhood(x: str, radius: int, max_length: int, least: int | None = None, most: int | None = None) -> dict[str, int]:

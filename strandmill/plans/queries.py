@@ -349,6 +349,37 @@ def huddinge_pairs(spark, sf_dir):
     return huddinge.all_pairs(few_reads(spark, sf_dir))
 
 
+_OFFSETS = "list_transform(range(-7, 8), lambda o: {'o': o, 'n': list_sum(list_transform(range(greatest(0, o), least(8, 8 + o)), lambda j: (substring(x.seq, (j + 1)::bigint, 1) = substring(y.seq, (j - o + 1)::bigint, 1))::int))})"
+
+
+@query(
+    f"with {FEW}, a as (select x.read_id as i, y.read_id as j, unnest({_OFFSETS}) as u from reads x join reads y on x.read_id > y.read_id), b as (select i, j, u.o as o, u.n as n, max(u.n) over (partition by i, j) as most from a) "
+    "select i, j, (8 - most)::int as dist, o::int as shift from b where n = most"
+)
+def huddinge_alignments(spark, sf_dir):
+    return huddinge.all_alignments(few_reads(spark, sf_dir))
+
+
+_NEAR_HD = ", ".join(f"('{p}', {sum(a != b for a, b in zip(p, _SEED6))})" for p in neighbourhood(_SEED6, 2, True))
+
+
+@query(
+    f"with {READS}, q as (select substring(seq, pos, 1) as base, count(*)::double / sum(count(*)) over () as q from reads, unnest(range(1, length(seq) + 1)) t(pos) group by 1), "
+    f"s as (select * from (values {_NEAR_HD}) v(kmer, hd)), p as (select kmer, hd, exp(sum(ln(q))) as p from s, unnest(range(1, 7)) t(i) join q on base = substring(kmer, i::bigint, 1) group by kmer, hd), "
+    + "c as (" + " union all ".join(f"select {j} as col, substring(kmer, {j + 1}, 1) as base, p from p where hd < 2 or (hd = 2 and substring(kmer, {j + 1}, 1) <> '{c}')" for j, c in enumerate(_SEED6))
+    + ") select col, base, round(sum(p) * (select sum(greatest(length(seq) - 5, 0)) * 2 from reads), 4) as n from c group by col, base"
+)
+def expected_counts(spark, sf_dir):
+    """What a background alone would give the gated counts."""
+    from strandmill.functions import adm
+
+    r = reads(spark, sf_dir)
+    q = {x["base"]: x["q"] for x in C.background(r).collect()}
+    n = r.agg(F.sum(F.greatest(F.length("seq") - 5, F.lit(0)))).first()[0]
+    m = adm.expected_multinomial_counts(_SEED6, 2, 2 * n, [q[b] for b in "ACGT"])
+    return spark.createDataFrame([(j, b, round(float(m[i, j]), 4)) for i, b in enumerate("ACGT") for j in range(6)], "col int, base string, n double")
+
+
 _PROB = [[0.05, 0.05, 0.05, 0.05, 0.05, 0.7, 0.05, 0.05, 0.05], [0.05, 0.7, 0.8, 0.05, 0.1, 0.1, 0.05, 0.1, 0.85], [0.85, 0.2, 0.1, 0.1, 0.7, 0.1, 0.85, 0.8, 0.05], [0.05, 0.05, 0.05, 0.8, 0.15, 0.1, 0.05, 0.05, 0.05]]
 _PPM = ", ".join(f"({j}, '{b}', {_PROB[i][j]!r}::double)" for i, b in enumerate("ACGT") for j in range(9))
 _LOGODDS = [[float(x) for x in row] for row in M.log_odds(__import__("numpy").array(_PROB)).round(6)]

@@ -124,3 +124,43 @@ def logo_svg(m, width: int = 40, height: int = 100) -> str:
                 out.append(f'<g transform="translate({j * width},{y:.2f}) scale({width / 60:.4f},{h / 72:.4f})"><text font-size="100" fill="{colours["ACGT"[i]]}">{"ACGT"[i]}</text></g>')
             y -= h
     return "\n".join([*out, "</svg>"])
+
+
+def heatmap_svg(pair, cell: int = 36) -> str:
+    """A pair's weights by orientation and distance, in thousandths."""
+    distances = list(range(pair.dmin, pair.dmax + 1))
+    top = max([*pair.lambdas.values(), 1e-12])
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{cell * (len(distances) + 1)}" height="{cell * (len(pair.orientations) + 1)}" font-family="sans-serif" font-size="11">']
+    for i, d in enumerate(distances):
+        out.append(f'<text x="{cell * (i + 1.3):.0f}" y="{cell * 0.6:.0f}">{d}</text>')
+    for r, o in enumerate(pair.orientations):
+        out.append(f'<text x="4" y="{cell * (r + 1.6):.0f}">{o}</text>')
+        for i, d in enumerate(distances):
+            x = pair.lambdas.get((o, d), 0.0)
+            shade = int(255 - 200 * x / top)
+            out.append(f'<rect x="{cell * (i + 1)}" y="{cell * (r + 1)}" width="{cell}" height="{cell}" fill="rgb(255,{shade},{shade})"/>')
+            out.append(f'<text x="{cell * (i + 1.15):.0f}" y="{cell * (r + 1.6):.0f}">{1000 * x:.0f}</text>')
+    return "\n".join([*out, "</svg>"])
+
+
+def html(result, cfg, names: list[str] | None = None, visual: bool = True) -> str:
+    """A page with the fit's parameters, its rounds, and each motif and pair; without pictures if not ``visual``."""
+    from dataclasses import asdict
+
+    from strandmill.plans.em import ppm
+
+    state = result.state
+    names = names or [f"motif{k}" for k in range(len(state.models))]
+    table = lambda head, rows: "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>" for r in [head, *rows]) + "</table>"
+    show = lambda x: f"{x:.4g}" if isinstance(x, float) else ", ".join(map(show, x)) if isinstance(x, list) else str(x)
+    out = ["<html><head><meta charset='utf-8'><style>td{padding:2px 8px}</style></head><body>", "<h2>Parameters</h2>", table(("name", "value"), asdict(cfg).items())]
+    if result.history:
+        keys = list(result.history[0])
+        out += ["<h2>Rounds</h2>", table(keys, [[show(h[k]) for k in keys] for h in result.history])]
+    out += ["<h2>Motifs</h2>", table(("motif", "seed", "weight"), [(n, s, f"{x:.6f}") for n, s, x in zip(names, state.seeds, state.lambdas, strict=True)])]
+    if visual:
+        out += [f"<h3>{n}</h3>{logo_svg(ppm(t))}" for n, t in zip(names, state.models, strict=True)]
+    for p in state.pairs:
+        out.append(f"<h2>{names[p.tf1]} - {names[p.tf2]}</h2>")
+        out.append(heatmap_svg(p) if visual else table(("orientation", "distance", "weight"), [(o, d, f"{x:.5f}") for (o, d), x in p.lambdas.items()]))
+    return "\n".join([*out, "</body></html>"])

@@ -17,7 +17,7 @@ def test_learn_and_distances(spark, tmp_path):
     (tmp_path / "r.seq").write_text("\n".join(seqs) + "\n")
     args = ["learn", f"{tmp_path}/r.seq", "GACCTG", "--outputdir", f"{tmp_path}/out", "--max-iter", "3", "--unbound", f"{tmp_path}/unbound", "--names", "m", "--cob", "all", "--dmax", "1", "--flanks", "--unique", "0"]
     cli.run(spark, cli.parser().parse_args(args))
-    assert {"m.pfm", "m.svg", "m-m.cob", "monomer_weights.txt", "history", "models", "cob", "flank-0.pfm"} <= {p.name for p in (tmp_path / "out").iterdir()}
+    assert {"m.pfm", "m.svg", "m-m.cob", "monomer_weights.txt", "history", "models", "cob", "flank-0.pfm", "report.html"} <= {p.name for p in (tmp_path / "out").iterdir()}
     (tmp_path / "s.seq").write_text("\n".join([*seqs[:5], seqs[0]]) + "\n")
     cli.run(spark, cli.parser().parse_args(["distances", f"{tmp_path}/s.seq", f"{tmp_path}/d", "--unique"]))
     assert spark.read.parquet(f"{tmp_path}/d").count() == 10
