@@ -47,7 +47,8 @@ def recurring(templates: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFra
     some = materialize(some.where((F.col("n") >= min_contexts) & (F.col("c0") < F.col("c1")) & (F.col("d0") < F.col("d1"))).select("key", "d0"), "recurring")
     lines = materialize(templates.join(some, "key"), "recurring")
     counted = lines.groupBy("key", "context").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts)
-    return lines.join(counted.select("key"), "key", "left_semi").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("d0"))).select("row", "pos").distinct()
+    counted = materialize(counted.select("key"), "recurring")  # so that the join below may split the lines of a hot template
+    return lines.join(counted, "key", "left_semi").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("d0"))).select("row", "pos").distinct()
 
 
 def drop_lines(documents: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
