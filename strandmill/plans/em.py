@@ -23,6 +23,7 @@ from strandmill.functions import matrix as M
 from strandmill.functions.alphabet import bases_of, combine_overlap, neighbourhood, reverse_complement
 from strandmill.operators import counts as C
 from strandmill.operators.windows import most_frequent_completion, seed_hits
+from strandmill.storage import spread
 
 ORIENTATIONS = ("HT", "HH", "TT", "TH")
 
@@ -494,7 +495,7 @@ def change(old: State, new: State, cfg: Config) -> float:
 
 def fit(reads: DataFrame, seeds: list[str], cfg: Config = Config(), matrices: list[np.ndarray] | None = None, meme_init: bool = False) -> Result:
     """Learns from (read_id, seq). Reads shorter than a site take no part in it; an empty table raises."""
-    reads = reads.select("read_id", "seq").persist(StorageLevel.MEMORY_AND_DISK)
+    reads = spread(reads.select("read_id", "seq")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         totals = np.array([r["n"] for r in sorted(C.background(reads).collect(), key=lambda r: r["base"])], float)
         if not totals.sum():

@@ -56,3 +56,10 @@ def release(spark: SparkSession) -> None:
     """Lets Spark clear the shuffle files of finished jobs that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if a few small files would leave cores idle; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
