@@ -260,10 +260,9 @@ class Memo(dict):
 class Encoder:
     """Texts to ids.
 
-    A space between two characters that are no white space always begins a piece. So where a text has only
-    such spaces, it is cut there, and whole words (with what leans on them) are remembered, which costs one lookup a
-    word; other texts are cut by the pattern. ``one`` encodes a piece when it is met; without it the new pieces of
-    many texts go through the transducer together.
+    Texts are cut by the pattern, and the new pieces of many texts go through the transducer together. With ``one``,
+    which encodes a piece when it is met, words are remembered as well, at one lookup a word: a space between two
+    characters that are no white space always begins a piece, so a text that has only such spaces is cut there.
     """
 
     def __init__(self, merges: Merges, one: Callable[[str], bytes] | None = None, remembered: int = REMEMBERED):
@@ -304,6 +303,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if self.one is None:
+            return self.encode_pieces([self.pieces(t) for t in texts])
         plain = [not (_NO_CUT.search(t) or t[:1] == " " or t[-1:] == " " or (self.m.added_pattern and self.m.added_pattern.search(t))) for t in texts]
         cut = [t.split(" ") for t, p in zip(texts, plain, strict=True) if p]
         heads = self.encode_pieces([self.pieces(w[0]) for w in cut])
@@ -311,16 +312,13 @@ class Encoder:
             w[0] = ""
         self.words.age(self.remembered // 2)
         self.words[""] = b""
-        if self.one is None and cut:
-            new = self.words.new(set().union(*cut))
-            self.words.update(zip(new, self.encode_pieces([self._cut(" " + w) for w in new]), strict=True))
         get = self.words.__getitem__
         fast = iter([h + b"".join(map(get, w)) for h, w in zip(heads, cut, strict=True)])
         slow = iter(self.encode_pieces([self.pieces(t) for t, p in zip(texts, plain, strict=True) if not p]))
         return [next(fast if p else slow) for p in plain]
 
     def encode_pieces(self, cut: list[list[str]]) -> list[bytes]:
-        self.memo.age(self.remembered // 4)
+        self.memo.age(self.remembered // (2 if self.one is None else 4))
         self.memo.update((t, np.array([i], "<u4").tobytes()) for t, i in self.m.added.items())
         if self.one is None and cut:
             new = self.memo.new(set().union(*cut))
