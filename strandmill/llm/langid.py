@@ -5,6 +5,10 @@ their boundaries, hashed to a table. A linear layer and a softmax follow. Both a
 gradient descent in numpy on a bounded sample of labelled documents. A held-back part of the sample gives the
 temperature that calibrates the probabilities, and the score below which a prediction is rejected.
 
+Probabilities only compare the learned languages. So a text must also look like the language it is taken for: the
+mean log-likelihood of its subwords in that language, less that of the language's own documents, each judged by all
+the others, has a threshold too. It works with one language as with many.
+
 As the layer is linear, a trained model is one table of logits by bucket, and a text costs one lookup a subword.
 """
 
@@ -26,8 +30,11 @@ from strandmill.llm.text import IS_SPACE, blocks, tidied
 PER_LANGUAGE = 600
 TRAIN_CHARS = 3000
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 8, 0.5
-#: Share of correctly predicted held-back documents whose score may lie below the rejection threshold.
+#: Share of correctly predicted held-back documents whose score may lie below the rejection threshold, and of
+#: training documents whose likelihood may.
 REJECTED = 0.001
+#: Added to the count of each bucket in a language.
+SMOOTH = 0.1
 UNKNOWN = "und"
 NO_LETTER = r"^\P{L}*$"
 
@@ -66,16 +73,24 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    likelihood: np.ndarray  # languages x BUCKETS, float32; the mean over a text's subwords is about 0 for the language's own
+    least: float  # of that mean
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """Calibrated probabilities, rows x languages. Buckets are summed a block at a time."""
-        out = np.zeros((len(texts), len(self.languages)))
+    def judged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities, rows x languages, and the likelihood in the most probable one. Buckets are summed
+        a block at a time."""
+        out, like = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for a, b, data, offsets in blocks(texts):
             row, bucket = subwords(data, offsets)
             n = np.maximum(np.bincount(row, minlength=b - a), 1)
             for k in range(len(self.languages)):
                 out[a:b, k] = np.bincount(row, self.logits[:, k][bucket], b - a) / n + self.bias[k]
-        return softmax(out / self.temperature)
+            flat = out[a:b].argmax(1) * BUCKETS
+            like[a:b] = np.bincount(row, self.likelihood.reshape(-1)[flat[row] + bucket], b - a) / n
+        return softmax(out / self.temperature), like
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        return self.judged(texts)[0]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -83,16 +98,30 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def likelihoods(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_languages: int) -> tuple[np.ndarray, float]:
+    """The table of log-likelihoods, less the mean of each language's documents, and the least of a text; rows of
+    (buckets, counts). A document is judged by the counts of the others."""
+    counts = np.zeros((n_languages, BUCKETS))
+    for (i, c), k in zip(rows, y, strict=True):
+        counts[k, i] += c
+    total = counts.sum(1) + SMOOTH * BUCKETS
+    own = np.array([c @ np.log((counts[k, i] - c + SMOOTH) / (total[k] - c.sum())) / max(1, c.sum()) for (i, c), k in zip(rows, y, strict=True)])
+    mean = np.array([own[y == k].mean() for k in range(n_languages)])
+    table = np.log((counts + SMOOTH) / total[:, None]) - mean[:, None]
+    return table.astype(np.float32), float(np.quantile(own - mean[y], REJECTED, method="lower"))
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     """SGD over mini-batches of documents; a fifth of them, by hash, calibrates."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    rows = []
+    counts = []
     for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         count = np.bincount(subwords(raw, np.array([0, len(raw)]))[1], minlength=BUCKETS)
         some = np.flatnonzero(count)
-        rows.append((some, (count[some] / max(1, count.sum())).astype(np.float32)))
+        counts.append((some, count[some]))
+    rows = [(i, (c / max(1, c.sum())).astype(np.float32)) for i, c in counts]
     held = np.array([zlib.crc32(t.encode()) % 5 == 0 for t in texts]) if len(texts) >= 50 else np.zeros(len(texts), bool)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
@@ -115,7 +144,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             for k, g in zip(some, back, strict=True):
                 i, w = rows[k]
                 table[i] -= (rate / (w @ w) * w)[:, None] * g  # moves this text's mean by rate * g
-    model = Model(languages, (table @ layer).astype(np.float32), bias.astype(float), 1.0, 0.0)
+    model = Model(languages, (table @ layer).astype(np.float32), bias.astype(float), 1.0, 0.0, *likelihoods(counts, y, len(languages)))
     check = np.flatnonzero(held) if held.any() else train
     raw = np.stack([w @ model.logits[i] for i, w in (rows[k] for k in check)]) + bias if len(check) else np.zeros((0, len(languages)))
     if len(check):
@@ -124,7 +153,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
         model.temperature = float(grid[int(np.argmin(loss))])
         p = softmax(raw / model.temperature)
         right = p.max(1)[p.argmax(1) == y[check]]
-        model.threshold = float(min(0.5, np.quantile(right, REJECTED))) if len(right) else 0.0
+        model.threshold = float(np.quantile(right, REJECTED, method="lower")) if len(right) else 0.0
     return model
 
 
@@ -163,12 +192,12 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model | None, filtering:
     for batch in batches:
         letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
         if model is None:
-            lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            lang, score, known = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
         else:
-            p = model.scores(batch.column("text"))
+            p, like = model.judged(batch.column("text"))
             lang = np.where(letters, np.array(model.languages, object)[p.argmax(1)], UNKNOWN).tolist()
             score = np.where(letters, p.max(1), 0.0)
-        known = score >= (model.threshold if model else 0.0)
+            known = (score >= model.threshold) & (like >= model.least)
         if filtering:
             yield batch.filter(pa.array(known & letters)).select(batch.schema.names[:-2]).rename_columns(filtering)
             continue
@@ -181,7 +210,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """One row per row: doc_id, lang_pred, score, accepted (not rejected), from the whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is a score below the model's
-    threshold, which keeps lang_pred. Without a model all is ``und``, and what has a letter is accepted. No shuffle; other columns are not read.
+    threshold or a text unlike its language, which keep lang_pred. Without a model all is ``und``, and what has a letter is accepted. No shuffle; other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(~F.col("text").rlike(NO_LETTER), F.lit(False)).alias("letters"))
     return rows.mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, accepted boolean")

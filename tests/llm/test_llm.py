@@ -362,6 +362,20 @@ def test_language_is_of_the_text_alone(spark, docs):
     assert langid.identify(odd, None).where("accepted").count() == 1
 
 
+def test_language_rejects_unseen_languages_and_garbage(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rng = random.Random(3)
+    polish = "nie na się że jest jak tak przez przy był dla czy już tylko jego może być ale który miasto wojna polska rząd między człowiek życie ludzie dzień czas praca szkoła książka droga dom woda ziemia słowo świat kraj".split()
+    texts = [" ".join(rng.choice(polish) for _ in range(rng.randint(20, 200))) for _ in range(100)]
+    texts += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 200))) for _ in range(100)]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for langs in (["en", "de", "fr", "es"], ["en", "de"], ["en"]):
+        known = docs.where(docs.lang.isin(langs))
+        model = langid.train(known)
+        assert langid.accepted(odd, model).count() <= 2
+        assert langid.accepted(known, model).count() >= 0.98 * known.count()
+
+
 # edges
 
 
