@@ -501,20 +501,20 @@ def unbound_reads(spark, sf_dir):
 @query()
 def em_fit(spark, sf_dir):
     """The whole fit, iterative: its history, a row a round."""
-    result = em.fit(reads(spark, sf_dir), [SEED], em.Config(max_iter=10))
+    result = em.fit(reads(spark, sf_dir), [SEED], em.Config())
     return report.history(spark, result)
 
 
 @query()
 def em_fit_adm(spark, sf_dir):
-    result = em.fit(reads(spark, sf_dir), [SEED], em.Config(model="adm-fixed", max_iter=5))
+    result = em.fit(reads(spark, sf_dir), [SEED], em.Config(model="adm-fixed"))
     return report.models(spark, result.state, em.Config(model="adm-fixed"))
 
 
 @query()
 def em_fit_pairs(spark, sf_dir):
     """Pairs of a motif with itself: the table of dimer weights by orientation and distance."""
-    cfg = em.Config(cob=((0, 0),), dmin=-2, dmax=4, max_iter=4)
+    cfg = em.Config(cob=((0, 0),))
     result = em.fit(reads(spark, sf_dir), ["GCCTGA"], cfg)
     return report.cob_table(spark, result.state)
 

@@ -1,5 +1,6 @@
 import pytest
 
+from strandmill.plans import em
 from strandmill.plans.queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 
@@ -12,3 +13,13 @@ def test_query_equals_sql(spark, same, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLE_SQL])
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["em_fit", "em_fit_adm", "em_fit_pairs"])
+def test_fits_are_whole(spark, monkeypatch, name):
+    found, fit = [], em.fit
+    monkeypatch.setattr(em, "fit", lambda *a, **b: found.append(fit(*a, **b)) or found[-1])
+    rows = QUERIES[name](spark, DATA).collect()
+    assert found[0].converged
+    if name == "em_fit_pairs":
+        assert {r["d"] for r in rows} == set(range(-3, 9))
