@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.text import IS_SPACE, blocks, tidied
+from strandmill.llm.text import BLOCK, IS_SPACE, blocks, tidied
 
-#: Bounds of what is fitted: labelled documents of each language, and characters of a training document, of which
-#: evenly spaced windows are taken from its whole length. Predictions read whole texts.
+#: Bound of what is fitted: labelled documents of each language. Training and predictions read whole texts.
 PER_LANGUAGE = 600
-TRAIN_CHARS = 3000
 BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 8, 0.5
 #: Share of correctly predicted held-back documents whose score may lie below the rejection threshold, and of
 #: training documents whose likelihood may.
@@ -111,18 +109,12 @@ def likelihoods(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_lang
     return table.astype(np.float32), float(np.quantile(own - mean[y], REJECTED, method="lower"))
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
-    """SGD over mini-batches of documents; a fifth of them, by hash, calibrates."""
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], checks: list[int], labels: list[str], seed: int = 7) -> Model:
+    """SGD over mini-batches of documents, given as (buckets, counts); a fifth of them, by the hash in ``checks``, calibrates."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
-    counts = []
-    for t in texts:
-        raw = np.frombuffer(t.encode(), np.uint8)
-        count = np.bincount(subwords(raw, np.array([0, len(raw)]))[1], minlength=BUCKETS)
-        some = np.flatnonzero(count)
-        counts.append((some, count[some]))
     rows = [(i, (c / max(1, c.sum())).astype(np.float32)) for i, c in counts]
-    held = np.array([zlib.crc32(t.encode()) % 5 == 0 for t in texts]) if len(texts) >= 50 else np.zeros(len(texts), bool)
+    held = np.array(checks) % 5 == 0 if len(counts) >= 50 else np.zeros(len(counts), bool)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -157,12 +149,29 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     return model
 
 
-def spread(text: str, chars: int = TRAIN_CHARS) -> str:
-    """At most ``chars`` characters of a training text, in eight windows over all of it."""
-    if len(text) <= chars:
-        return text
-    n = chars // 8
-    return " ".join(text[k * (len(text) - n) // 7 :][:n] for k in range(8))
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, counts) of a whole text, a piece at a time: pieces overlap by two bytes and n-grams are counted once."""
+    count = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(text), BLOCK):
+        a = max(0, at - 2)
+        raw = np.frombuffer(text[a : at + BLOCK], np.uint8)
+        count += np.bincount(subwords(raw, np.array([0, len(raw)]))[1], minlength=BUCKETS)
+        if a < at:
+            again = np.frombuffer(text[a:at], np.uint8)
+            count -= np.bincount(subwords(again, np.array([0, 2]))[1], minlength=BUCKETS)
+    some = np.flatnonzero(count)
+    return some, count[some]
+
+
+@tidied
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lang, text) to (key, lang, check, buckets, counts); a row in place of at most BUCKETS counts a text."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text = batch.column("text")[k].as_py().encode()
+            i, c = counted(text)
+            cols = [pa.array([zlib.crc32(text)], pa.int64()), pa.array([i.astype("<u2").tobytes()], pa.binary()), pa.array([c.astype("<u4").tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("key").slice(k, 1), batch.column("lang").slice(k, 1), *cols], ["key", "lang", "check", "buckets", "counts"])
 
 
 def train(documents: DataFrame, per_language: int = PER_LANGUAGE, allowed=None) -> Model | None:
@@ -180,11 +189,13 @@ def train(documents: DataFrame, per_language: int = PER_LANGUAGE, allowed=None)
         return None
     rate = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("lang")]
     some = rows.where(F.pmod(key, F.lit(1 << 20)) < rate * (1 << 20)).select(key.alias("key"), "lang", "text")
-    found: dict[str, list[tuple[int, str]]] = {}
-    for r in some.collect():  # bounded by per_language and the number of languages
-        found.setdefault(r["lang"], []).append((r["key"], spread(r["text"])))
-    pairs = [(t, lang) for lang in sorted(found) for _, t in sorted(found[lang])[:per_language]]
-    return fit([t for t, _ in pairs], [lang for _, lang in pairs]) if pairs else None
+    some = some.mapInArrow(_count, "key long, lang string, check long, buckets binary, counts binary")
+    found: dict[str, list[tuple[int, int, bytes, bytes]]] = {}
+    for r in some.collect():  # bounded by per_language, the number of languages and BUCKETS
+        found.setdefault(r["lang"], []).append((r["key"], r["check"], r["buckets"], r["counts"]))
+    chosen = [(lang, *x[1:]) for lang in sorted(found) for x in sorted(found[lang])[:per_language]]
+    counts = [(np.frombuffer(i, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64)) for _, _, i, c in chosen]
+    return fit(counts, [x[1] for x in chosen], [x[0] for x in chosen]) if chosen else None
 
 
 @tidied

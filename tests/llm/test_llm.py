@@ -376,6 +376,22 @@ def test_language_rejects_unseen_languages_and_garbage(spark):
         assert langid.accepted(known, model).count() >= 0.98 * known.count()
 
 
+def test_language_learns_from_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda counts, checks, labels: seen.append((counts, labels)))
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (3, 800, 4000)]
+    langid.train(spark.createDataFrame([(i, t, f"l{i}") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    (counts, labels), = seen
+    assert labels == ["l0", "l1", "l2"]
+    for t, (_, c) in zip(texts, counts):
+        assert c.sum() == 3 * len(t.encode()) - 3
+    monkeypatch.setattr(langid, "BLOCK", 1000)
+    for t, (i, c) in zip(texts, counts):
+        j, d = langid.counted(t.encode())
+        assert np.array_equal(i, j) and np.array_equal(c, d)
+
+
 # edges
 
 
