@@ -1,107 +1,188 @@
-"""Line dedup by a log-template tree, in DataFrame functions only.
-
-A line's tokens, those with a digit made to <*>, lead down a tree of fixed depth: the number of tokens, then the
-first three tokens. In that leaf a line belongs to two templates, which keep half of its tokens and generalise
-the other half to variable fields: the first half, or the last half (a short line has one template, all of it).
-So lines of a template agree in number, in the leading tokens and in at least half of all tokens.
-
-A template recurs if its lines stand between at least four different pairs of neighbouring lines, in more than
-one document. Copies of a document show the same neighbours, so what only copies share isn't boilerplate; copies
-are left to the operators for documents. Lines of a recurring template are dropped, except in the document with
-the smallest doc_id that has it.
+"""Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
+
+A line's tokens, those with a digit made to <*>, lead down a tree: the number of tokens, then the leading tokens
+(a quarter of them, from two to eight; lines of one or two tokens lead by all). In that leaf the rest of a line is
+cut to at most eight fields, of one token each in lines of up to ten tokens. A field is constant if at least three
+lines of the leaf have it at that place; any other varies and becomes <*>. What comes out is the line's template. A
+template with fewer than half its tokens constant, or with a varying field and fewer than three, says too little
+and is none; in a line with digits, tokens without letters don't count as constant.
+
+A template recurs if at least three unrelated texts have it. Equal texts count once. Texts that are near copies are
+told apart from texts that only share some lines by a sketch, twelve minima of hashes of their pieces: a piece ends
+with a clause, or before a word with one of some first letters. Texts that agree in a band of three minima are
+related. A template also needs 15 % as many unrelated texts as texts, so a large group of near copies, a few of
+which any sketch misses, makes nothing recur. Copies are left to the operators for documents.
+
+Lines of a recurring template are dropped, except in the text of the smallest doc_id that has it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.storage import materialize
 
-LEADING, SHORT, MIN_TOKENS, MIN_CONTEXTS = 3, 8, 3, 4
-_VARIABLE = r"(?<!\S)[^0-9\s]*+[0-9]\S*"
-_BLANK = " \t\r\x0b\x0c"
-
-
-def line_templates(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, text) to (row, doc_id, pos, key, context), a row for each template of each line."""
-    lines = rows.select("row", "doc_id", F.split(F.regexp_replace("text", _VARIABLE, "<*>"), "\n").alias("lines"))
-    lines = lines.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    lines = lines.select("row", "doc_id", "hashes", F.posexplode("lines").alias("pos", "line"))
-    context = F.xxhash64(F.get("hashes", F.col("pos") - 1), F.get("hashes", F.col("pos") + 1), F.col("pos") == 0)
-    lines = lines.select("row", "doc_id", "pos", context.alias("context"), F.split(F.btrim("line", F.lit(_BLANK)), r"\s+").alias("t"))
-    lines = lines.withColumn("n", F.size("t")).where(F.col("n") >= MIN_TOKENS)
-    half = F.ceil(F.col("n") / 2).cast("int")
-    head = F.xxhash64(F.lit(1), "n", F.slice("t", F.lit(1), F.greatest(half, F.lit(LEADING))))
-    tail = F.xxhash64(F.lit(2), "n", F.slice("t", 1, LEADING), F.slice("t", F.col("n") - half + 1, half))
-    keys = F.when(F.col("n") < SHORT, F.array(F.xxhash64(F.lit(0), "n", "t"))).otherwise(F.array(head, tail))
-    return lines.select("row", "doc_id", "pos", "context", F.explode(keys).alias("key"))
-
-
-def recurring(templates: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """Lines (row, doc_id, pos) to drop. One pass of minima and maxima, with no list of a template's lines, leaves
-    the few templates whose contexts are then counted."""
-    some = templates.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")
-    )
-    some = materialize(some.where((F.col("n") >= min_contexts) & (F.col("c0") < F.col("c1")) & (F.col("d0") < F.col("d1"))).select("key", "d0"), "recurring")
-    lines = materialize(templates.join(some, "key"), "recurring")
-    counted = lines.groupBy("key", "context").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_contexts)
-    counted = materialize(counted.select("key"), "recurring")  # so that the join below may split the lines of a hot template
-    return lines.join(counted, "key", "left_semi").where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("d0"))).select("row", "pos").distinct()
-
-
-def drop_lines(documents: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+FIELDS, LEAST_LEAD, MOST_LEAD = 8, 2, 8
+MIN_TEXTS, UNRELATED = 3, 0.15
+BANDS, ROWS, DIGITS = 4, 3, 5
+SPACE = r"[\x20\x09-\x0D]+"
+_PIECE = r"[.,;:!?。、！？\n][ \t\n\r.,;:!?。、！？]*| (?=[a-hA-Hα-ηΑ-Ηа-зА-З])"
+_LETTER = r"\p{L}"
+_ODD = r"[\t\x0b\f\r]|  |^ | $"
+_LAST = (1 << 63) - 1
+
+
+def tokens(line: Column) -> Column:
+    """The line's tokens, <*> for one with a digit."""
+    plain = F.when(line.rlike(_ODD), F.filter(F.split(line, SPACE), lambda t: t != "")).otherwise(F.split(line, " "))
+    return F.when(line.rlike("[0-9]"), F.transform(plain, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(plain)
+
+
+def leaves(texts: DataFrame) -> DataFrame:
+    """(digest, text) to a row for each line with tokens: digest, pos, leaf, line, n, constant tokens of the lead, and
+    its fields (hash, constant tokens). In a line with digits only tokens with letters are constant."""
+    rows = texts.select("digest", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.select("digest", "pos", F.col("raw").rlike("[0-9]").alias("digits"), tokens(F.col("raw")).alias("t")).withColumn("n", F.size("t"))
+    lead = F.when(F.col("n") <= LEAST_LEAD, F.col("n")).otherwise(F.least(F.lit(MOST_LEAD), F.greatest(F.lit(LEAST_LEAD), F.ceil(F.col("n") / 4)))).cast("int")
+    rows = rows.withColumn("lead", lead).withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("lead")) / FIELDS)).cast("int"))
+    rows = rows.withColumn("m", F.ceil((F.col("n") - F.col("lead")) / F.col("width")).cast("int"))
+    named = lambda a: F.when(F.col("digits"), F.size(F.filter(a, lambda t: t.rlike(_LETTER)))).otherwise(F.size(a))
+
+    def field(j: Column) -> Column:
+        part = F.slice("t", F.col("lead") + 1 + j * F.col("width"), F.col("width"))
+        return F.struct(F.xxhash64(part).alias("h"), named(part).alias("c"))
+
+    head = F.slice("t", F.lit(1), F.col("lead"))
+    fields = F.when(F.col("m") > 0, F.transform(F.sequence(F.lit(0), F.col("m") - 1), field)).otherwise(F.array().cast("array<struct<h:bigint,c:int>>"))
+    return rows.select("digest", "pos", F.xxhash64("n", head).alias("leaf"), F.xxhash64(F.lit(1), "t").alias("line"), "n", named(head).alias("named"), fields.alias("fields"))
+
+
+def templates(lines: DataFrame) -> DataFrame:
+    """(leaf, line, template) of the lines that have one."""
+    each = lines.groupBy("leaf", "line", "n", "named", "fields").agg(F.count("*").alias("lines"))
+    each = materialize(each, "lines")
+    split = each.select("leaf", "line", "n", "named", "lines", F.posexplode_outer("fields").alias("j", "field")).select("*", "field.h", "field.c").drop("field")
+    often = split.where("h is not null").groupBy("leaf", "j", "h").agg(F.sum("lines").alias("k")).where(F.col("k") >= MIN_TEXTS)
+    often = materialize(often.select("leaf", "j", "h", F.lit(True).alias("constant")), "fields")  # so that the join may split a hot field
+    split = split.join(often, ["leaf", "j", "h"], "left").withColumn("varies", F.col("h").isNotNull() & F.col("constant").isNull())
+    body = F.bit_xor(F.xxhash64("j", F.when(~F.col("varies"), F.col("h")))).alias("template")
+    found = split.groupBy("leaf", "line", "n", "named").agg(body, F.sum(F.when(F.col("varies"), 0).otherwise(F.coalesce("c", F.lit(0)))).alias("c"), F.max("varies").alias("varies"))
+    constant = F.col("named") + F.col("c")
+    return found.where((constant * 2 >= F.col("n")) & (~F.col("varies") | (constant >= 3))).select("leaf", "line", "template")
+
+
+def sketched(documents: DataFrame) -> DataFrame:
+    """(digest, first, related): of each distinct text its smallest doc_id and the smallest digest of a band it is in."""
+    pieces = F.filter(F.split("text", _PIECE), lambda c: c != "")
+    rows = documents.select("digest", F.coalesce("doc_id", F.lit(_LAST)).alias("first"), F.transform(pieces, lambda c: F.sha2(c, 256)).alias("h"))
+
+    def minimum(k: int) -> Column:
+        return F.array_min(F.transform("h", lambda x: F.substring(x, 1 + DIGITS * k, DIGITS)))
+
+    bands = [F.concat(F.lit(str(b)), *[minimum(ROWS * b + r) for r in range(ROWS)]) for b in range(BANDS)]
+    rows = rows.select("digest", "first", F.array(*bands).alias("bands"))
+    rows = materialize(rows.groupBy("digest", "bands").agg(F.min("first").alias("first")), "sketches")
+    bands = rows.select("digest", F.explode("bands").alias("band")).where("band is not null")
+    low = bands.groupBy("band").agg(F.min("digest").alias("related"), F.max("digest").alias("high")).where("related < high").select("band", "related")
+    low = materialize(low, "bands")  # so that the join may split a hot band
+    near = bands.join(low, "band").groupBy("digest").agg(F.min("related").alias("related"))
+    return rows.join(near, "digest", "left").select("digest", "first", F.coalesce("related", "digest").alias("related"))
+
+
+def recurring(documents: DataFrame) -> DataFrame:
+    """(digest, drops): of each text that has some the positions of the lines to drop; of (digest, doc_id, text)."""
+    texts = materialize(sketched(documents), "texts")
+    every = materialize(leaves(documents.select("digest", "text")), "leaves")
+    some = every.groupBy("leaf").agg(F.count("*").alias("k"), F.min(F.xxhash64("digest")).alias("a"), F.max(F.xxhash64("digest")).alias("b"))
+    some = materialize(some.where((F.col("k") >= MIN_TEXTS) & (F.col("a") < F.col("b"))).select("leaf"), "shared")
+    lines = materialize(every.join(some, "leaf", "left_semi").distinct(), "shared")  # equal texts once
+    known = materialize(templates(lines), "templates")
+    rows = lines.select("digest", "pos", "leaf", "line").join(known, ["leaf", "line"]).join(texts, "digest")
+    rows = materialize(rows.select("digest", "pos", "leaf", "template", "first", "related"), "rows")
+    count = rows.groupBy("leaf", "template", "related", "digest").agg(F.min("first").alias("first"))
+    count = count.groupBy("leaf", "template", "related").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+    count = count.groupBy("leaf", "template").agg(F.count("*").alias("unrelated"), F.sum("texts").alias("texts"), F.min("first").alias("keeper"))
+    count = count.where((F.col("unrelated") >= MIN_TEXTS) & (F.col("unrelated") >= UNRELATED * F.col("texts"))).select("leaf", "template", "keeper")
+    count = materialize(count, "recurring")
+    return rows.join(count, ["leaf", "template"]).where("first > keeper").groupBy("digest").agg(F.collect_set("pos").alias("drops"))
+
+
+def drop_lines(documents: DataFrame) -> DataFrame:
     """All columns of ``documents``, text without the dropped lines, and n_lines, n_dropped.
 
-    Lines end with a line feed. A null text stays null with no lines; an empty one is one line without tokens, which,
-    like lines of fewer than three, is never dropped. A document that loses all its lines has an empty text. A row
-    without doc_id is never the one that keeps a recurring line. Rows that repeat doc_id and text are treated
-    alike. Very long texts cost time and memory in proportion to their length. Column names of the input are kept
-    apart from the operator's own by a struct.
+    Lines end with a line feed. A null text stays null with no lines; an empty one is one line without tokens, and
+    lines without tokens are never dropped. A document that loses all its lines has an empty text. Rows without a
+    doc_id keep a recurring line only if all that have it are such. Rows with equal texts are treated alike: all
+    copies of the text that keeps a line keep it. Very long texts cost time and memory in proportion to their
+    length. An empty table gives an empty one. Column names of the input are kept apart from the operator's own by
+    a struct.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("all"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    templates = materialize(line_templates(docs.where("text is not null").select("row", "doc_id", "text")), "templates")
-    drops = recurring(templates, min_contexts).groupBy("row").agg(F.collect_list("pos").alias("drops"))
+    docs = docs.withColumn("digest", F.md5("text"))
+    drops = recurring(docs.where("text is not null").select("digest", "doc_id", "text"))
     # merge-joined at any size: a plan that broadcasts drops while they are few tells nothing of a larger corpus
-    out = docs.join(drops.hint("merge"), "row", "left").withColumn("lines", F.split("text", "\n"))
+    out = docs.join(drops.hint("merge"), "digest", "left").withColumn("lines", F.split("text", "\n"))
     kept = F.array_sort(F.array_except(F.sequence(F.lit(1), F.size("lines")), F.transform("drops", lambda p: p + 1)))
     text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col("lines"), i)), "\n"))
     fields = [text.alias(c) if c == "text" else F.col("all").getField(c).alias(c) for c in documents.columns]
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    n_dropped = F.when(F.col("drops").isNull(), 0).otherwise(F.size(F.array_distinct("drops"))).cast("long")
+    n_dropped = F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long")
     return out.select(*fields, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
-def drop_digest(documents: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def drop_digest(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 (of the text that is left; null if it is null)."""
-    out = drop_lines(documents.select("doc_id", "text"), min_contexts)
+    out = drop_lines(documents.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
-with d as (
-  select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as lines,
-         string_split(regexp_replace(text, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), chr(10)) as masked
-  from documents),
-l as (
-  select r, doc_id, p, masked[p] as line, case when p = 1 then '0' else '1' || masked[p - 1] end as before,
-         case when p = len(masked) then '0' else '1' || masked[p + 1] end as after,
-         list_filter(string_split_regex(masked[p], '[\x20\x09-\x0D]+'), lambda x: x <> '') as t
-  from (select *, unnest(range(1, len(masked) + 1)) as p from d)),
-k as (
-  select r, doc_id, p, before, after, unnest(case when len(t) < 8 then [concat('0|', len(t), '|', array_to_string(t, ' '))]
-           else [concat('1|', len(t), '|', array_to_string(t[1:(len(t) + 1) // 2], ' ')),
-                 concat('2|', len(t), '|', array_to_string(t[1:3], ' '), '|', array_to_string(t[len(t) - (len(t) + 1) // 2 + 1:], ' '))] end) as key
-  from l where len(t) >= 3),
-g as (
-  select key, min(doc_id) as d0 from k group by key
-  having count(distinct (before, after)) >= 4 and min(doc_id) < max(doc_id)),
-x as (select distinct r, p from k join g using (key) where doc_id is null or doc_id > d0),
-y as (select r, list(p) as drops from x group by r)
+with tx as (
+  select md5(text) as digest, any_value(text) as text, min(coalesce(doc_id, 9223372036854775807)) as first
+  from documents where text is not null group by 1),
+sk as (
+  select digest, list_transform(list_filter(string_split_regex(regexp_replace(text, ' ([a-hA-Hα-ηΑ-Ηа-зА-З])', chr(10) || '\1', 'g'),
+         '[.,;:!?。、！？\n][ \t\n\r.,;:!?。、！？]*'), lambda c: c <> ''), lambda c: sha256(c)) as h
+  from tx),
+bands as (
+  select digest, k || list_min(list_transform(h, lambda x: x[15 * k + 1 : 15 * k + 5])) || list_min(list_transform(h, lambda x: x[15 * k + 6 : 15 * k + 10]))
+         || list_min(list_transform(h, lambda x: x[15 * k + 11 : 15 * k + 15])) as band
+  from sk, (select unnest([0, 1, 2, 3]) as k) where len(h) > 0),
+low as (select band, min(digest) as related from bands group by band),
+kin as (select digest, min(related) as related from bands join low using (band) group by digest),
+raw as (select digest, unnest(range(len(string_split(text, chr(10))))) as pos, unnest(string_split(text, chr(10))) as line from tx),
+tok as (
+  select digest, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as t from raw),
+led as (
+  select *, len(t) as n, case when len(t) <= 2 then len(t) else least(8, greatest(2, ceil(len(t) / 4)))::int end as k
+  from tok where len(t) > 0),
+cut as (select *, greatest(1, ceil((n - k) / 8))::int as w, t[1:k] as head from led),
+line as (
+  select digest, pos, n, head, t, list_transform(range(0, ceil((n - k) / w)::int), lambda j: t[k + 1 + j * w : least(n, k + (j + 1) * w)]) as fields from cut),
+field as (select n, head, t, unnest(range(len(fields))) as j, unnest(fields) as f from line),
+often as (select n, head, j, f from field group by all having count(*) >= 3),
+known as (select distinct n, head, t, fields from line),
+part as (select n, head, t, unnest(range(len(fields))) as j, unnest(fields) as f from known),
+body as (
+  select p.n, p.head, p.t, list(case when o.f is null then ['<*>'] else p.f end order by p.j) as body, bool_or(o.f is null) as varies,
+         sum(case when o.f is null then 0 else len(list_filter(p.f, lambda x: not list_contains(p.t, '<*>') or regexp_matches(x, '\pL'))) end) as c
+  from part p left join often o on p.n = o.n and p.head = o.head and p.j = o.j and p.f = o.f group by all),
+tpl as (
+  select l.n, l.head, l.t, coalesce(b.body, []) as body, coalesce(b.varies, false) as varies,
+         len(list_filter(l.head, lambda x: not list_contains(l.t, '<*>') or regexp_matches(x, '\pL'))) + coalesce(b.c, 0) as constant
+  from known l left join body b using (n, head, t)),
+hit as (
+  select line.digest, line.pos, tpl.n, tpl.head, tpl.body, tx.first, coalesce(kin.related, line.digest) as related
+  from line join tpl using (n, head, t) join tx using (digest) left join kin using (digest)
+  where constant * 2 >= tpl.n and (not varies or constant >= 3)),
+rec as (
+  select n, head, body, min(first) as keeper from hit group by all
+  having count(distinct related) >= 3 and count(distinct related) >= 0.15 * count(distinct digest)),
+gone as (select hit.digest, list(hit.pos) as drops from hit join rec using (n, head, body) where first > keeper group by 1),
+d as (select doc_id, text, md5(text) as digest, string_split(text, chr(10)) as lines from documents)
 select doc_id, coalesce(len(lines), 0)::bigint as n_lines, coalesce(len(drops), 0)::bigint as n_dropped,
        sha256(case when drops is null then text else array_to_string(
-         list_transform(list_filter(range(1, len(lines) + 1), lambda i: not list_contains(drops, i)), lambda i: lines[i]), chr(10)) end) as kept_sha256
-from d left join y using (r)
+         list_transform(list_filter(range(len(lines)), lambda i: not list_contains(drops, i)), lambda i: lines[i + 1]), chr(10)) end) as kept_sha256
+from d left join gone using (digest)
 """

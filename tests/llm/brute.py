@@ -60,27 +60,58 @@ def remove_repeats(rows, window=20):
     return out
 
 
-def drop_lines(rows, least=4):
+def _masked(line):
+    return ["<*>" if re.search("[0-9]", t) else t for t in words(line)]
+
+
+def _fields(t):
+    """(lead, fields) of a line's tokens."""
+    n = len(t)
+    k = n if n <= 2 else min(8, max(2, math.ceil(n / 4)))
+    w = max(1, math.ceil((n - k) / 8))
+    return tuple(t[:k]), [tuple(t[i : i + w]) for i in range(k, n, w)]
+
+
+def related(texts):
+    """{text: smallest md5 of the texts that share a band of three of its twelve minima of piece hashes}."""
+    digest = {t: hashlib.md5(t.encode()).hexdigest() for t in texts}
+    bands, members = {}, defaultdict(list)
+    for t in texts:
+        pieces = re.split(r"[.,;:!?。、！？\n][ \t\n\r.,;:!?。、！？]*| (?=[a-hA-Hα-ηΑ-Ηа-зА-З])", t)
+        h = [hashlib.sha256(c.encode()).hexdigest() for c in pieces if c]
+        low = [min((x[5 * k : 5 * k + 5] for x in h), default=None) for k in range(12)]
+        bands[t] = [(k, *low[k : k + 3]) for k in (0, 3, 6, 9)] if h else []
+        for b in bands[t]:
+            members[b].append(digest[t])
+    return {t: min([digest[t], *(min(members[b]) for b in bands[t])]) for t in texts}
+
+
+def drop_lines(rows):
     """Texts after line dedup; rows of (doc_id, text)."""
-    keyed, contexts, first, most = [], defaultdict(set), {}, {}
-    for r, (doc, text) in enumerate(rows):
-        if text is None:
-            continue
-        masked = [re.sub(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>", x) for x in text.split("\n")]
-        for p, line in enumerate(masked):
-            t = words(line)
-            n, half = len(t), -(-len(t) // 2)
-            if n < 3:
-                continue
-            keys = [(0, n, *t)] if n < 8 else [(1, n, *t[:half]), (2, n, *t[:3], *t[n - half :])]
-            context = (masked[p - 1] if p else None, masked[p + 1] if p + 1 < len(masked) else None)
-            for k in keys:
-                keyed.append((r, p, k))
-                contexts[k].add(context)
-                if doc is not None:
-                    first[k], most[k] = min(doc, first.get(k, doc)), max(doc, most.get(k, doc))
-    gone = {(r, p) for r, p, k in keyed if len(contexts[k]) >= least and k in first and first[k] < most[k] and (rows[r][0] is None or rows[r][0] > first[k])}
-    return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (r, p) not in gone) for r, (_, t) in enumerate(rows)]
+    first = {}
+    for doc, text in rows:
+        if text is not None:
+            first[text] = min(first.get(text, math.inf), math.inf if doc is None else doc)
+    lines = [(text, p, _masked(x)) for text in first for p, x in enumerate(text.split("\n")) if words(x)]
+    often = Counter()
+    for _, _, t in lines:
+        lead, fields = _fields(t)
+        often.update((len(t), lead, j, f) for j, f in enumerate(fields))
+    kin, has = related(first), defaultdict(list)
+    for text, p, t in lines:
+        lead, fields = _fields(t)
+        body = tuple(f if often[len(t), lead, j, f] >= 3 else None for j, f in enumerate(fields))
+        said = [x for part in (lead, *filter(None, body)) for x in part if "<*>" not in t or any(c.isalpha() for c in x)]
+        if 2 * len(said) >= len(t) and (None not in body or len(said) >= 3):
+            has[len(t), lead, body].append((text, p))
+    gone = set()
+    for found in has.values():
+        some = {x for x, _ in found}
+        unrelated = len({kin[x] for x in some})
+        if unrelated >= 3 and unrelated >= 0.15 * len(some):
+            keeper = min(first[x] for x in some)
+            gone |= {(x, p) for x, p in found if first[x] > keeper}
+    return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (t, p) not in gone) for _, t in rows]
 
 
 def targets(sizes, share=1.5, cap=2, weights=(5, 2, 1)):
