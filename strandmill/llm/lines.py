@@ -8,8 +8,8 @@ template with fewer than half its tokens constant, or with a varying field and f
 and is none; in a line with digits, tokens without letters don't count as constant.
 
 A template recurs if at least three unrelated texts have it. Equal texts count once. Texts that are near copies are
-told apart from texts that only share some lines by a sketch, twelve minima of hashes of leads and fields. Texts
-that agree in a band of three minima are related. A template also needs a quarter as many unrelated texts as texts, so a large group of near copies, a few of
+told apart from texts that only share some lines by a sketch, eighteen minima of hashes of clauses. Texts that agree
+in a band of three minima are related. A template also needs a fifth as many unrelated texts as texts, so a large group of near copies, a few of
 which any sketch misses, makes nothing recur. Copies are left to the operators for documents.
 
 Lines of a recurring template are dropped, except in the text of the smallest doc_id that has it.
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from strandmill.storage import materialize
 
 FIELDS, LEAST_LEAD, MOST_LEAD = 16, 2, 8
-MIN_TEXTS, UNRELATED = 3, 0.25
-BANDS, ROWS = 4, 3
+MIN_TEXTS, UNRELATED = 3, 0.2
+BANDS, ROWS = 6, 3
 SPACE = r"[\x20\x09-\x0D]+"
+_CLAUSE = r"[.,;:!?\n][ \t\n\r.,;:!?]*"
 _LETTER = r"\p{L}"
 _LAST = (1 << 63) - 1
 #: A minimum is that of the hashes' exclusive or with one of these: multiples of the golden ratio's 64 bits, cut to 60.
@@ -47,12 +48,12 @@ def tokens(line: Column) -> Column:
 
 
 def leaves(texts: DataFrame) -> DataFrame:
-    """(digest, doc_id, text) to a row for each line with tokens: digest, doc_id, pos, leaf, line, n, named (constant
-    tokens of the lead), width, and the fields' hashes h and constant tokens c.
+    """(digest, text) to a row for each line with tokens: digest, pos, leaf, line, n, named (constant tokens of the
+    lead), width, and the fields' hashes h and constant tokens c.
 
     In a line with digits only tokens with letters are constant; c is null for lines without, where all are."""
-    rows = texts.select("digest", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.select("digest", "doc_id", "pos", F.col("raw").rlike("[0-9]").alias("digits"), tokens(F.col("raw")).alias("t")).withColumn("n", F.size("t"))
+    rows = texts.select("digest", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).where(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.select("digest", "pos", F.col("raw").rlike("[0-9]").alias("digits"), tokens(F.col("raw")).alias("t")).withColumn("n", F.size("t"))
     lead = F.when(F.col("n") <= LEAST_LEAD, F.col("n")).otherwise(F.least(F.lit(MOST_LEAD), F.greatest(F.lit(LEAST_LEAD), F.ceil(F.col("n") / 4)))).cast("int")
     rows = rows.withColumn("lead", lead).withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("n") - F.col("lead")) / FIELDS)).cast("int"))
     rows = rows.withColumn("m", F.ceil((F.col("n") - F.col("lead")) / F.col("width")).cast("int"))
@@ -61,9 +62,9 @@ def leaves(texts: DataFrame) -> DataFrame:
     named = lambda a: F.size(F.filter(a, lambda t: t.rlike(_LETTER)))
     head = F.slice("t", F.lit(1), F.col("lead"))
     return rows.select(
-        "digest", "doc_id", "pos", hash_of(F.concat_ws(" ", F.col("n").cast("string"), head)).alias("leaf"), hash_of(F.array_join("t", " ")).alias("line"), "n",
+        "digest", "pos", F.xxhash64("n", head).alias("leaf"), F.xxhash64(F.lit(1), "t").alias("line"), "n",
         F.when(F.col("digits"), named(head)).otherwise(F.col("lead")).alias("named"), "width",
-        F.transform(places, lambda j: hash_of(F.array_join(part(j), " "))).alias("h"), F.when(F.col("digits"), F.transform(places, lambda j: named(part(j)))).alias("c"),
+        F.transform(places, lambda j: F.xxhash64(part(j))).alias("h"), F.when(F.col("digits"), F.transform(places, lambda j: named(part(j)))).alias("c"),
     )
 
 
@@ -85,20 +86,19 @@ def templates(lines: DataFrame) -> DataFrame:
     return found.where((constant * 2 >= F.col("n")) & (~F.col("varies") | (constant >= 3))).select("leaf", "line", "template")
 
 
-def related(lines: DataFrame) -> DataFrame:
-    """(digest, first, related): of each text its smallest doc_id and the smallest digest of a band that it is in."""
-    # one token alone says little: it counts with its leaf
-    pieces = F.concat(F.array("leaf"), F.when(F.col("width") > 1, F.col("h")).otherwise(F.transform("h", lambda x: x.bitwiseXOR(F.col("leaf")))))
-    rows = lines.select("digest", F.coalesce("doc_id", F.lit(_LAST)).alias("first"), pieces.alias("pieces"))
+def related(documents: DataFrame) -> DataFrame:
+    """(digest, first, related): of each distinct text its smallest doc_id and the smallest digest of a band it is in."""
+    clauses = F.filter(F.split("text", _CLAUSE), lambda c: c != "")
+    rows = documents.select("digest", F.coalesce("doc_id", F.lit(_LAST)).alias("first"), F.transform(clauses, hash_of).alias("pieces"))
 
     def minimum(mask: int) -> Column:
         return F.array_min(F.transform("pieces", lambda x: x.bitwiseXOR(F.lit(mask))))
 
     names = [f"m{k}" for k in range(len(MASKS))]
     rows = rows.select("digest", "first", *[minimum(mask).alias(name) for mask, name in zip(MASKS, names, strict=True)])
-    rows = materialize(rows.groupBy("digest").agg(F.min("first").alias("first"), *[F.min(name).alias(name) for name in names]), "sketches")
+    rows = materialize(rows.groupBy("digest", *names).agg(F.min("first").alias("first")), "sketches")
     bands = F.array(*[F.struct(F.lit(b).alias("b"), *[F.col(names[ROWS * b + r]).alias(f"m{r}") for r in range(ROWS)]) for b in range(BANDS)])
-    bands = rows.select("digest", F.explode(bands).alias("band"))
+    bands = rows.where("m0 is not null").select("digest", F.explode(bands).alias("band"))
     low = bands.groupBy("band").agg(F.min("digest").alias("related"), F.max("digest").alias("high")).where("related < high").select("band", "related")
     low = materialize(low, "bands")  # so that the join may split a hot band
     near = bands.join(low, "band").groupBy("digest").agg(F.min("related").alias("related"))
@@ -107,12 +107,12 @@ def related(lines: DataFrame) -> DataFrame:
 
 def recurring(documents: DataFrame) -> DataFrame:
     """(digest, drops): of each text that has some the positions of the lines to drop; of (digest, doc_id, text)."""
-    every = materialize(leaves(documents), "leaves")
+    every = materialize(leaves(documents.select("digest", "text")), "leaves")
     some = every.groupBy("leaf").agg(F.count("*").alias("k"), F.min(F.xxhash64("digest")).alias("a"), F.max(F.xxhash64("digest")).alias("b"))
     some = materialize(some.where((F.col("k") >= MIN_TEXTS) & (F.col("a") < F.col("b"))).select("leaf"), "shared")
-    lines = materialize(every.drop("doc_id").join(some, "leaf", "left_semi").distinct(), "shared")  # equal texts once
+    lines = materialize(every.join(some, "leaf", "left_semi").distinct(), "shared")  # equal texts once
     known = materialize(templates(lines), "templates")
-    texts = materialize(related(every), "texts")
+    texts = materialize(related(documents), "texts")
     rows = lines.select("digest", "pos", "leaf", "line").join(known, ["leaf", "line"]).join(texts, "digest")
     rows = materialize(rows.select("digest", "pos", "leaf", "template", "first", "related"), "rows")
     count = rows.groupBy("leaf", "template", "related", "digest").agg(F.min("first").alias("first"))
@@ -165,11 +165,9 @@ led as (
 cut as (select *, greatest(1, ceil((n - k) / 16))::int as w, t[1:k] as head from led),
 line as (
   select digest, pos, n, w, head, t, list_transform(range(0, ceil((n - k) / w)::int), lambda j: t[k + 1 + j * w : least(n, k + (j + 1) * w)]) as fields from cut),
-hashed as (
-  select digest, cast('0x' || substr(md5(concat_ws(' ', n, array_to_string(head, ' '))), 1, 15) as bigint) as leaf, w,
-         list_transform(fields, lambda f: cast('0x' || substr(md5(array_to_string(f, ' ')), 1, 15) as bigint)) as h
-  from line),
-piece as (select digest, unnest(list_prepend(leaf, case when w > 1 then h else list_transform(h, lambda x: xor(x, leaf)) end)) as x from hashed),
+piece as (
+  select digest, cast('0x' || substr(md5(c), 1, 15) as bigint) as x
+  from (select digest, unnest(string_split_regex(text, '[.,;:!?\n][ \t\n\r.,;:!?]*')) as c from tx) where c <> ''),
 minima as (select digest, {minima} from piece group by 1),
 bands as ({bands}),
 low as (select band, min(digest) as related from bands group by band),
@@ -187,12 +185,12 @@ tpl as (
          len(list_filter(l.head, lambda x: not list_contains(l.t, '<*>') or regexp_matches(x, '\pL'))) + coalesce(b.c, 0) as constant
   from known l left join body b using (n, head, t)),
 hit as (
-  select line.digest, line.pos, tpl.n, tpl.head, tpl.body, tx.first, related
-  from line join tpl using (n, head, t) join tx using (digest) join kin using (digest)
+  select line.digest, line.pos, tpl.n, tpl.head, tpl.body, tx.first, coalesce(kin.related, line.digest) as related
+  from line join tpl using (n, head, t) join tx using (digest) left join kin using (digest)
   where constant * 2 >= tpl.n and (not varies or constant >= 3)),
 rec as (
   select n, head, body, min(first) as keeper from hit group by all
-  having count(distinct related) >= 3 and count(distinct related) >= 0.25 * count(distinct digest)),
+  having count(distinct related) >= 3 and count(distinct related) >= 0.2 * count(distinct digest)),
 gone as (select hit.digest, list(hit.pos) as drops from hit join rec using (n, head, body) where first > keeper group by 1),
 d as (select doc_id, text, md5(text) as digest, string_split(text, chr(10)) as lines from documents)
 select doc_id, coalesce(len(lines), 0)::bigint as n_lines, coalesce(len(drops), 0)::bigint as n_dropped,

@@ -72,24 +72,16 @@ def _fields(t):
     return tuple(t[:k]), [tuple(t[i : i + w]) for i in range(k, n, w)]
 
 
-def _hash(tokens):
-    return int(hashlib.md5(" ".join(tokens).encode()).hexdigest()[:15], 16)
-
-
 def related(texts):
-    """{text: smallest md5 of the texts that share a band of three of its twelve minima}."""
+    """{text: smallest md5 of the texts that share a band of three of its eighteen minima of clause hashes}."""
     digest = {t: hashlib.md5(t.encode()).hexdigest() for t in texts}
     bands, members = {}, defaultdict(list)
-    for text in texts:
-        pieces = []
-        for t in filter(None, map(_masked, text.split("\n"))):
-            lead, fields = _fields(t)
-            leaf = _hash([str(len(t)), *lead])
-            pieces += [leaf, *(_hash(f) ^ (leaf if len(fields[0]) == 1 else 0) for f in fields)]
-        low = [min((x ^ (k * 0x9E3779B97F4A7C15 & (1 << 60) - 1) for x in pieces), default=None) for k in range(1, 13)]
-        bands[text] = [(k, *low[k : k + 3]) for k in (0, 3, 6, 9)] if pieces else []
-        for b in bands[text]:
-            members[b].append(digest[text])
+    for t in texts:
+        h = [int(hashlib.md5(c.encode()).hexdigest()[:15], 16) for c in re.split(r"[.,;:!?\n][ \t\n\r.,;:!?]*", t) if c]
+        low = [min((x ^ (k * 0x9E3779B97F4A7C15 & (1 << 60) - 1) for x in h), default=None) for k in range(1, 19)]
+        bands[t] = [(k, *low[k : k + 3]) for k in range(0, 18, 3)] if h else []
+        for b in bands[t]:
+            members[b].append(digest[t])
     return {t: min([digest[t], *(min(members[b]) for b in bands[t])]) for t in texts}
 
 
@@ -115,7 +107,7 @@ def drop_lines(rows):
     for found in has.values():
         some = {x for x, _ in found}
         unrelated = len({kin[x] for x in some})
-        if unrelated >= 3 and unrelated >= 0.25 * len(some):
+        if unrelated >= 3 and unrelated >= 0.2 * len(some):
             keeper = min(first[x] for x in some)
             gone |= {(x, p) for x, p in found if first[x] > keeper}
     return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (t, p) not in gone) for _, t in rows]
