@@ -7,8 +7,8 @@ buckets by the leading bits of the anchor and sorted within the bucket. A new ba
 its sorted anchors and merge-joined with the runs, bucket by bucket: anchors met before (in the runs, in
 another part of the batch, or earlier in one text) make their documents candidates. The batch is then written
 as a run of its own, and runs are compacted to one when there are too many. Candidates are verified: windows
-under a repeated anchor are told apart by 48 more bits over all their words, ordered by (doc_id, start), and
-only a window whose words also start earlier counts as repeated.
+under a repeated anchor (64 bits) are told apart by 48 more bits over all their words, ordered by (doc_id, start),
+and only a window whose words also start earlier counts as repeated. Words themselves are not compared.
 
 Within each Arrow batch an anchor or a window goes to the shuffle once, however often it occurs; what
 repeats it there is settled on the spot. So a passage in a third of all documents costs a row for each batch.
@@ -72,9 +72,10 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 def _by_bucket(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """Buckets of ascending hashes."""
-    edges = np.searchsorted(hashes >> U64(64 - bits), np.arange((1 << bits) + 1, dtype=U64))
-    for k in np.flatnonzero(np.diff(edges)):
-        yield int(k), slice(edges[k], edges[k + 1])
+    bucket = hashes >> U64(64 - bits)
+    edges = np.append(np.flatnonzero(_starts(bucket)), len(bucket))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(bucket[a]), slice(a, b)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -277,7 +278,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, run: int = RUN,
     """(doc_id, spans): runs of window starts whose words also start earlier; documents are taken in by batches of ascending doc_id."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    bits = min(20, max(6, (plan_bytes(documents) // bucket_bytes).bit_length()))
+    bits = min(31, max(6, (plan_bytes(documents) // bucket_bytes).bit_length()))  # 31: buckets are ints; enough for 2^31 of them
     edges = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
     edges = sorted(set(edges or []))
     index, candidates = AnchorIndex(spark, bits, window, run, fan_out), None

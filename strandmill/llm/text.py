@@ -2,13 +2,15 @@
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, unchanged. All hashes are wrapping
 64-bit polynomials over a random byte table followed by a bijective mixer, computed for a whole
-block of documents at once, so no Python code runs for each word.
+block of documents at once, so no Python code runs for each word. Such polynomials of long sequences
+vanish for some patterns whatever the base is, so a word of more than LONG bytes is hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,8 @@ IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 #: Bytes of text that are hashed at a time; bounds the memory of a kernel (a longer text is a block of its own).
 BLOCK = 1 << 20
+#: Bytes of a word, up to which the polynomial is as good as random.
+LONG = 32
 
 
 def tidied(kernel: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
@@ -97,7 +101,10 @@ class Words:
     first: np.ndarray  # n_docs + 1
 
     def hashes(self, poly: Poly = WORD_A) -> np.ndarray:
-        return poly.slices(poly.prefix(poly.table[self.data]), self.start, self.end)
+        out = poly.slices(poly.prefix(poly.table[self.data]), self.start, self.end)
+        for k in np.flatnonzero(self.end - self.start > LONG):
+            out[k] = int.from_bytes(hashlib.blake2b(self.data[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

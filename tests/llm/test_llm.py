@@ -184,6 +184,18 @@ def test_substrings_equal_brute_force(spark, batches, fan_out):
     assert got == want and any(r[2] for r in want)
 
 
+def test_long_words_are_told_apart(spark):
+    """Polynomials modulo 2^64 can't tell a Thue-Morse word from its complement, whatever their base is."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(df, with_text=False).collect()} == {1: 0, 2: 0, 3: 20}
+    near = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame([(1, " ".join([word] * 5)), (2, " ".join([other] * 5))], "doc_id long, text string")).collect()}
+    assert near == {1: 1, 2: 2}
+
+
 def test_substring_text(spark):
     p = " ".join(f"w{i}" for i in range(25))
     out = substring.remove_repeats(spark.createDataFrame([(1, f"a {p} b"), (2, f"c\n{p}  d")], "doc_id long, text string")).orderBy("doc_id").collect()
