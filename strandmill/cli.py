@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     learn.add_argument("--single-strand", action="store_true")
     learn.add_argument("--reverse-strand", action="store_true")
     learn.add_argument("--rna", action="store_true")
+    learn.add_argument("--freqs", default="", help="background of the first round: four comma-separated frequencies")
+    learn.add_argument("--directional-seed", action="store_true", help="seeds of overlapping cases are no near palindromes")
+    learn.add_argument("--purely-modular", type=float, default=1.0, help="weight of dimers from which a motif is learned from them alone")
     learn.add_argument("--unique", type=int, help="drop reads within this many mismatches of a kept one")
     learn.add_argument("--unbound", help="write the reads that no motif claims")
     learn.add_argument("--flanks", action="store_true")
@@ -99,7 +103,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg = em.Config(
         model=args.model, two_strands=not args.single_strand, rna=args.rna, radius=args.hamming_radius, gate=not args.disable_multinomial, prior=args.prior, adjust_seeds=not args.no_adjust_seeds,
         fixed_monomers=tuple(int(x) for x in args.keep_monomer_fixed.split(",") if x), max_iter=args.max_iter, epsilon=args.epsilon, cob=cob, cob_cutoff=args.cob_cutoff, dmin=args.dmin, dmax=args.dmax, max_gap=args.max_gap_learned,
-        min_distance=args.minimum_distance_for_learning, ic_threshold=args.ic_threshold, combine=args.overlap_combine,
+        min_distance=args.minimum_distance_for_learning, ic_threshold=args.ic_threshold, combine=args.overlap_combine, directional_seeds=args.directional_seed, purely_modular=args.purely_modular,
+        freqs=tuple(float(x) for x in args.freqs.split(",")) if args.freqs else None,
     )
     parts = [x for x in args.seeds.split(",") if x]
     matrices = None
@@ -114,10 +119,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     report.cob_table(spark, result.state).coalesce(1).write.mode("overwrite").parquet(f"{out}/cob")
     for k, t in enumerate(result.state.models):
         writers.write_bytes(spark, f"{out}/{names[k] if names else f'motif{k}'}.svg", report.logo_svg(em.ppm(t)).encode())
+    writers.write_bytes(spark, f"{out}/seeds.json", "".join(json.dumps(r) + "\n" for r in em.seed_report(reads, result.state, cfg)).encode())
     writers.write_bytes(spark, f"{out}/report.html", report.html(result, cfg, names, not args.no_visualizations).encode())
     if args.flanks:
-        for k, m in enumerate(em.flanks(reads, result.state, cfg)):
-            writers.write_bytes(spark, f"{out}/flank-{k}.pfm", writers.matrix_text(m).encode())
+        for key, m in em.flanks(reads, result.state, cfg).items():
+            pairs = result.state.pairs
+            name = key[1] if key[0] == "m" else f"{pairs[key[1]].tf1}-{pairs[key[1]].tf2}.{key[2]}.{key[3]}"
+            writers.write_bytes(spark, f"{out}/flank-{name}.pfm", writers.matrix_text(m).encode())
     if args.unbound:
         writers.write_unbound(em.unbound(reads, result.state, cfg), _uri(args.unbound))
 

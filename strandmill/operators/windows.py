@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequence as S
@@ -82,6 +84,53 @@ def most_frequent_completion(reads: DataFrame, pattern: str, begin: int, length:
     return best.select(F.coalesce("b.kmer", F.lit(pattern)).alias("kmer"), F.coalesce("b.n", F.lit(0)).alias("n"))
 
 
+def _pattern_is(kmer: Column, pattern: str) -> Column:
+    """Whether a string of the pattern's length matches it; plain ends are compared without a regular expression."""
+    left, right = (len(x) for x in (re.match("[ACGT]*", pattern).group(), re.search("[ACGT]*$", pattern).group()))
+    plain = kmer.startswith(pattern[:left]) & kmer.endswith(pattern[len(pattern) - right :])
+    rest = pattern[left : len(pattern) - right]
+    return plain & kmer.rlike(f"^{pattern_regex(pattern)}$") if set(rest) - {"N"} else plain
+
+
+def _completions(reads: DataFrame, cases: list[tuple[str, int, int]], two_strands: bool) -> DataFrame | None:
+    """(i, part) of all sites that match a case's pattern; each length's windows are made once for all of its cases."""
+    by_length: dict[int, list[int]] = {}
+    for i, (pattern, _, _) in enumerate(cases):
+        by_length.setdefault(len(pattern), []).append(i)
+    out = None
+    for k, some in by_length.items():
+        kmer = F.col("kmer")
+        cells = [F.when(_pattern_is(kmer, cases[i][0]), F.struct(F.lit(i).alias("i"), F.substring(kmer, cases[i][1] + 1, cases[i][2]).alias("part"))) for i in some]
+        rows = sites(reads, k, two_strands, True).select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def commonest_completions(reads: DataFrame, cases: list[tuple[str, int, int]], two_strands: bool = False, skip_near_palindromes: bool = False) -> list[tuple[str, int]]:
+    """``most_frequent_completion`` of many (pattern, begin, length) in one job: (kmer, n) of each."""
+    found = _completions(reads, cases, two_strands)
+    out = [(pattern, 0) for pattern, _, _ in cases]
+    if found is None:
+        return out
+    counts = found.groupBy("i", "part").agg(F.count("*").alias("n"))
+    if skip_near_palindromes:
+        ends = F.array(*[F.array(F.lit(p[:b]), F.lit(p[b + n :])) for p, b, n in cases])
+        counts = counts.where(S.palindromic_index(F.concat(ends[F.col("i")][0], "part", ends[F.col("i")][1])) > 1)
+    for r in counts.groupBy("i").agg(F.max(F.struct("n", "part")).alias("b")).collect():  # a row for each case
+        pattern, begin, length = cases[r["i"]]
+        out[r["i"]] = (pattern[:begin] + r["b"]["part"] + pattern[begin + length :], r["b"]["n"])
+    return out
+
+
+def pattern_counts(reads: DataFrame, patterns: list[str], two_strands: bool = False) -> list[int]:
+    """How often each of some patterns occurs, in one job; a palindromic site counts on both strands."""
+    found = _completions(reads, [(p, 0, 0) for p in patterns], two_strands)
+    out = [0] * len(patterns)
+    for r in [] if found is None else found.groupBy("i").agg(F.count("*").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out
+
+
 def overlapping_seed(reads: DataFrame, a: str, b: str, d: int, how: str = "N", two_strands: bool = False) -> DataFrame:
     """Seed of two motifs at distance d < 0: their combination with the overlap filled by its commonest completion."""
     return most_frequent_completion(reads, combine_overlap(a, b, d, how), len(a) + d, -d, two_strands)

@@ -22,7 +22,7 @@ from strandmill.functions import adm as A
 from strandmill.functions import matrix as M
 from strandmill.functions.alphabet import bases_of, combine_overlap, neighbourhood, reverse_complement
 from strandmill.operators import counts as C
-from strandmill.operators.windows import most_frequent_completion, seed_hits
+from strandmill.operators.windows import commonest_completions, pattern_counts, seed_hits
 from strandmill.storage import spread
 
 ORIENTATIONS = ("HT", "HH", "TT", "TH")
@@ -40,7 +40,7 @@ class Config:
     prior: str = "none"  # none, addone, dirichlet
     adjust_seeds: bool = True
     fixed_monomers: tuple[int, ...] = ()
-    purely_modular: float = 1.0  # share of a motif's weight in dimers from which its own sites no longer count
+    purely_modular: float = 1.0  # weight of a motif's dimers at least min_distance apart from which its own sites no longer count
     max_iter: int = 150
     epsilon: float = 0.01
     dmin: int | None = None
@@ -54,6 +54,8 @@ class Config:
     cob: tuple[tuple[int, int], ...] | str = ()
     oscillation_from: int = 50
     oscillation_rounds: int = 15
+    freqs: tuple[float, ...] | None = None  # first background, in place of that of the reads
+    directional_seeds: bool = False  # seeds of overlapping cases are no near palindromes
 
     def __post_init__(self):
         if self.model == "adm":
@@ -66,6 +68,8 @@ class Config:
             object.__setattr__(self, "radius", 2 if self.model == "ppm" else 3)
         if self.rna and self.two_strands:
             object.__setattr__(self, "two_strands", False)
+        if self.freqs is not None and (len(self.freqs) != 4 or min(self.freqs) <= 0 or abs(sum(self.freqs) - 1) > 1e-6):
+            raise ValueError("four positive frequencies that sum to 1 are needed")
         if not 0 < self.background_fraction < 1 or self.epsilon <= 0 or self.max_iter < 0 or self.radius < 0:
             raise ValueError("parameter out of range")
 
@@ -163,11 +167,15 @@ def components(state: State, cfg: Config) -> list[Component]:
 
 
 def encode(seqs: list[str]) -> np.ndarray:
-    table = np.zeros(256, np.uint8)
+    """Codes 0 to 3 of reads of one length; a read with an ambiguous base raises."""
+    table = np.full(256, 255, np.uint8)
     for i, c in enumerate("ACGT"):
         table[[ord(c), ord(c.lower())]] = i
     table[[ord("U"), ord("u")]] = 3
-    return table[np.frombuffer("".join(seqs).encode(), np.uint8)].reshape(len(seqs), -1)
+    out = table[np.frombuffer("".join(seqs).encode("ascii", "replace"), np.uint8)].reshape(len(seqs), -1)
+    if (out == 255).any():
+        raise ValueError(f"a read has another letter than A, C, G, T and U: {seqs[int((out == 255).any(1).argmax())]!r}")
+    return out
 
 
 def site_log_odds(codes: np.ndarray, comp: Component, q: np.ndarray) -> np.ndarray:
@@ -194,7 +202,7 @@ def gated_counts(codes: np.ndarray, z: np.ndarray, seed: str, radius: int | None
     hd = np.zeros(z.shape, np.int16)
     for j in range(k):
         hd += ~ok[j][codes[:, j : j + m]]
-    row, col = np.nonzero((z > 1e-15) & ((hd <= radius) if radius is not None else True))
+    row, col = np.nonzero((z > 0) & ((hd <= radius) if radius is not None else True))
     z, hd, left, prev = z[row, col], hd[row, col], np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
     for j in range(k):
         cur = codes[row, col + j].astype(np.int64)
@@ -223,6 +231,7 @@ class Kernel:
             self._slot(("lambda", *c.key), (1,))
             if c.key[0] == "m":
                 self._slot(("counts", *c.key), (self.groups, 4, 4, c.width))
+                self._slot(("half", *c.key), (self.groups, 4, 4, c.width))
             elif c.key[3] <= cfg.max_gap:
                 self._slot(("counts", *c.key), (self.groups, 4, 4, c.width))
 
@@ -265,7 +274,7 @@ class Kernel:
         plogp = (share * np.log2(share)).sum()
         cover = np.zeros((n, length + 1))
         sites = {k: [np.zeros((n, max(0, length - t.shape[2] + 1))) for _ in strands] for k, t in enumerate(state.models)}
-        turned = {k: [np.zeros((n, max(0, length - t.shape[2] + 1))) for _ in strands] for k, t in enumerate(state.models)}
+        half, turned = ({k: [np.zeros_like(x) for x in both] for k, both in sites.items()} for _ in range(2))
         radius = cfg.radius if cfg.gate else None
         for c, both in zip(self.comps, z, strict=True):
             if both is None:
@@ -303,7 +312,7 @@ class Kernel:
                             high = length - w - offset
                             turned[tf][s][:, high - m + 1 : high + 1] += p[:, ::-1]
                         else:
-                            sites[tf][s][:, offset : offset + m] += p
+                            half[tf][s][:, offset : offset + m] += p
                         offset += w + d
         self.get(sums, "ecll")[0] += ll + plogp
         cover = np.cumsum(cover[:, :-1], 1)
@@ -311,11 +320,13 @@ class Kernel:
         for k, seed in enumerate(state.seeds):
             if length < state.models[k].shape[2]:
                 continue
-            total = self.get(sums, "counts", "m", k)
+            total, parts = self.get(sums, "counts", "m", k), self.get(sums, "half", "m", k)
             for s, x in enumerate(strands):
                 total += gated_counts(x, sites[k][s], seed, radius, self.groups > 1)
+                if half[k][s].any():
+                    parts += gated_counts(x, half[k][s], seed, radius, self.groups > 1)
                 if turned[k][s].any():
-                    total += gated_counts(3 - x[:, ::-1], turned[k][s], seed, radius, self.groups > 1)
+                    parts += gated_counts(3 - x[:, ::-1], turned[k][s], seed, radius, self.groups > 1)
 
     def gap_seed(self, pair: Pair, o: str, d: int) -> str:
         """Halves' seeds with N in the gap and one column on both its sides."""
@@ -412,7 +423,7 @@ def dimer_grid(cfg: Config, i: int, j: int, k1: int, k2: int, lmin: int) -> Pair
 def initialize(reads: DataFrame, seeds: list[str], cfg: Config, matrices: list[np.ndarray] | None = None, meme_init: bool = False) -> State:
     seeds = [s.upper().replace("U", "T") for s in seeds]
     stats = {r["base"]: r["q"] for r in C.background(reads).collect()}
-    q = np.array([stats[b] for b in "ACGT"])
+    q = np.array(cfg.freqs or [stats[b] for b in "ACGT"])
     if matrices:
         models = [tensor(np.array(m, float)) for m in matrices]
         seeds = [seed_of(t, cfg) for t in models]
@@ -429,20 +440,21 @@ def initialize(reads: DataFrame, seeds: list[str], cfg: Config, matrices: list[n
     for x in pairs:
         x.lambdas = dict.fromkeys(x.lambdas, (1 - cfg.background_fraction - monomers) / cases)
     state = State(models, seeds, [monomers / p] * p, q, pairs)
-    for x in pairs:
-        adjust_pair_seeds(reads, state, x, cfg)
+    adjust_pair_seeds(reads, state, pairs, cfg)
     return state
 
 
-def adjust_pair_seeds(reads: DataFrame, state: State, pair: Pair, cfg: Config) -> None:
-    """Seeds of overlapping cases: the halves' combination, its overlap filled by the commonest completion."""
-    for (o, d), weight in pair.lambdas.items():
-        if d >= 0 or weight <= 0:
-            continue
-        a, b = oriented(state.seeds[pair.tf1], state.seeds[pair.tf2], o, cfg.rna, reverse_complement)
-        joint = combine_overlap(a, b, d, cfg.combine)
-        found = most_frequent_completion(reads, joint, len(a) + d, -d, cfg.two_strands).first()
-        pair.seeds[o, d] = found["kmer"]
+def adjust_pair_seeds(reads: DataFrame, state: State, pairs: list[Pair], cfg: Config) -> None:
+    """Seeds of overlapping cases: the halves' combination, its overlap filled by the commonest completion. One job for all."""
+    cases, wanted = [], []
+    for pair in pairs:
+        for (o, d), weight in pair.lambdas.items():
+            if d < 0 and weight > 0:
+                a, b = oriented(state.seeds[pair.tf1], state.seeds[pair.tf2], o, cfg.rna, reverse_complement)
+                wanted.append((pair, o, d))
+                cases.append((combine_overlap(a, b, d, cfg.combine), len(a) + d, -d))
+    for (pair, o, d), (kmer, _) in zip(wanted, commonest_completions(reads, cases, cfg.two_strands, cfg.directional_seeds), strict=True):
+        pair.seeds[o, d] = kmer
 
 
 def maximization(state: State, cfg: Config, kernel: Kernel, sums: np.ndarray, totals: np.ndarray) -> State:
@@ -457,7 +469,8 @@ def maximization(state: State, cfg: Config, kernel: Kernel, sums: np.ndarray, to
     q = rest / rest.sum() if rest.sum() > 0 else state.background
     models = []
     for k, t in enumerate(state.models):
-        counts = kernel.get(sums, "counts", "m", k)
+        apart = sum(x for p in pairs for tf in (p.tf1, p.tf2) if tf == k for (_, d), x in p.lambdas.items() if d >= cfg.min_distance)
+        counts = kernel.get(sums, "half", "m", k) + (kernel.get(sums, "counts", "m", k) if apart < cfg.purely_modular else 0.0)
         models.append(t if k in cfg.fixed_monomers or not counts.any() else estimate(counts, state.seeds[k], cfg, q))
     out = State(models, list(state.seeds), lambdas, q, pairs)
     for r, pair in enumerate(pairs):
@@ -493,9 +506,14 @@ def change(old: State, new: State, cfg: Config) -> float:
     return max(d, default=0.0)
 
 
+def as_dna():
+    """The column seq in capitals, with T for U; seeds and models are so too."""
+    return F.translate(F.upper("seq"), "U", "T").alias("seq")
+
+
 def fit(reads: DataFrame, seeds: list[str], cfg: Config = Config(), matrices: list[np.ndarray] | None = None, meme_init: bool = False) -> Result:
     """Learns from (read_id, seq). Reads shorter than a site take no part in it; an empty table raises."""
-    reads = spread(reads.select("read_id", "seq")).persist(StorageLevel.MEMORY_AND_DISK)
+    reads = spread(reads.select("read_id", as_dna())).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         totals = np.array([r["n"] for r in sorted(C.background(reads).collect(), key=lambda r: r["base"])], float)
         if not totals.sum():
@@ -513,8 +531,8 @@ def fit(reads: DataFrame, seeds: list[str], cfg: Config = Config(), matrices: li
                 for pair in new.pairs:
                     if set(new.seeds[pair.tf1]) == {"N"} or set(new.seeds[pair.tf2]) == {"N"}:
                         pair.lambdas = dict.fromkeys(pair.lambdas, 0.0)
-                    elif new.seeds != state.seeds:
-                        adjust_pair_seeds(reads, new, pair, cfg)
+                if new.seeds != state.seeds:
+                    adjust_pair_seeds(reads, new, new.pairs, cfg)
             delta = change(state, new, cfg)
             ll = float(kernel.get(sums, "ll")[0])
             history.append({
@@ -574,43 +592,54 @@ def site_posteriors(reads: DataFrame, state: State, cfg: Config) -> DataFrame:
     return reads.select("seq").mapInArrow(run, "motif int, strand int, pos int, z double").groupBy("motif", "strand", "pos").agg(F.sum("z").alias("z"))
 
 
-def flanks(reads: DataFrame, state: State, cfg: Config) -> list[np.ndarray]:
-    """Of each motif a 4 x (2 lmax - k) matrix: bases around its sites, weighted by posterior; the site is in the middle."""
+def flanks(reads: DataFrame, state: State, cfg: Config) -> dict[tuple, np.ndarray]:
+    """Of each motif and each live dimer case a 4 x (2 lmax - k) matrix, by the component's key: bases around its sites,
+    weighted by posterior; the site is in the middle."""
     kernel = Kernel(state, cfg)
     lmax = C.read_stats(reads).first()["lmax"]
-    shapes = [(4, 2 * lmax - t.shape[2]) for t in state.models]
-    ends = np.append(0, np.cumsum([a * b for a, b in shapes]))
+    shapes = {c.key: (4, 2 * lmax - c.width) for c in kernel.comps if c.width <= lmax}
+    ends = dict(zip(shapes, np.cumsum([a * b for a, b in shapes.values()]), strict=True))
+    size = max(ends.values(), default=0)
+
+    def of(sums: np.ndarray, key: tuple) -> np.ndarray:
+        a, b = shapes[key]
+        return sums[ends[key] - a * b : ends[key]].reshape(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(ends[-1])
+        sums = np.zeros(size)
         for batch in batches:
             seqs = batch.column(0).to_pylist()
             for length in set(map(len, seqs)) - {0}:
                 codes = encode([s for s in seqs if len(s) == length])
                 z, _ = kernel.posteriors(codes)
                 for c, both in zip(kernel.comps, z, strict=True):
-                    if c.key[0] != "m" or both is None:
+                    if both is None:
                         continue
-                    k = c.key[1]
-                    m = sums[ends[k] : ends[k + 1]].reshape(shapes[k])
+                    m = of(sums, c.key)
                     for s, p in enumerate(both):
                         x = codes if s == 0 else 3 - codes[:, ::-1]
                         for j in range(p.shape[1]):
                             low = lmax - c.width - j
                             for i in range(length):
                                 m[:, low + i] += np.bincount(x[:, i], p[:, j], 4)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(sums)], ["i", "v"])
 
-    sums = np.zeros(ends[-1])
+    sums = np.zeros(size)
     for r in reads.select("seq").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
         sums[r["i"]] = r["v"]
-    return [M.normalize_columns(sums[a:b].reshape(s)) for a, b, s in zip(ends[:-1], ends[1:], shapes, strict=True)]
-
-
-def seed_report(reads: DataFrame, seed: str, cfg: Config) -> dict[str, float]:
-    """How often a seed occurs, and would by chance."""
-    k = len(seed)
-    n = seed_hits(reads, seed, 0, cfg.two_strands).count()
-    sites = reads.agg(F.sum(F.greatest(F.length("seq") - k + 1, F.lit(0)))).first()[0] or 0
-    strings = len(neighbourhood(seed, 0, True))
-    return {"observed": n, "expected": sites * (2 if cfg.two_strands else 1) * strings * 4.0**-k}
+    return {key: M.normalize_columns(of(sums, key)) for key in shapes}
+
+
+def seed_report(reads: DataFrame, state: State, cfg: Config) -> list[dict]:
+    """How often the seeds of motifs and of live dimer cases occur, and would by chance; one job for all."""
+    kernel, reads = Kernel(state, cfg), reads.select("read_id", as_dna())
+    rows = [(str(k), "", 0, seed) for k, seed in enumerate(state.seeds)]
+    for pair in state.pairs:
+        rows += [(f"{pair.tf1}-{pair.tf2}", o, d, pair.seeds.get((o, d)) or kernel.gap_seed(pair, o, d)) for (o, d), x in pair.lambdas.items() if x > 0 and d <= cfg.max_gap]
+    lengths = {r["n"]: r["count"] for r in reads.groupBy(F.length("seq").alias("n")).count().collect()}
+    out = []
+    for (motif, o, d, seed), n in zip(rows, pattern_counts(reads, [r[3] for r in rows], cfg.two_strands), strict=True):
+        sites = sum(max(0, length - len(seed) + 1) * count for length, count in lengths.items())
+        chance = sites * (2 if cfg.two_strands else 1) * len(neighbourhood(seed, 0, True)) * 4.0 ** -len(seed) if seed.count("N") < 8 else None
+        out.append({"motif": motif, "orient": o, "d": d, "seed": seed, "observed": n, "expected": chance})
+    return out

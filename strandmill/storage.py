@@ -14,9 +14,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one for the application."""
+    """The folder named in spark.checkpoint.dir; where it is unset and all runs in one process (tests), a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _OWN.get(app) or _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="strandmill-"))
     return path.rstrip("/")
@@ -32,7 +34,15 @@ def materialize(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     path = new_path(spark, tag)
     df = df if files is None else df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that no later plan reads."""
+    for table in tables:
+        remove(table.sparkSession, table.table_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -109,7 +109,7 @@ def test_rna_unbound_flanks(spark):
     cfg = em.Config(rna=True, max_iter=1)
     state = em.State([em.tensor(M.from_seed("GACC", 0.97))], ["GACC"], [0.5], np.full(4, 0.25))
     assert [r["read_id"] for r in em.unbound(reads, state, cfg).collect()] == [1]
-    f = em.flanks(reads, state, cfg)[0]
+    f = em.flanks(reads, state, cfg)["m", 0]
     assert f.shape == (4, 20) and M.best_string(f[:, 8:12]) == "GACC"
     with pytest.raises(ValueError):
         em.fit(table(spark, []), ["GACC"], cfg)
@@ -173,3 +173,47 @@ def test_windows_of_short_and_null_reads(spark):
     reads = spark.createDataFrame([(1, "ACG"), (2, "A"), (3, None), (4, "")], "read_id long, seq string")
     assert W.windows(reads, 2, True).count() == 4
     assert W.windows(reads.where("false"), 2).agg(F.count("*")).first()[0] == 0
+
+
+def test_flanks_of_dimers_and_seed_report(spark):
+    reads = table(spark, [f"{'ACGT' * 2}GACCTG{'TT'}GGCATG{'CA' * 3}"] * 3 + ["ACGTTGCA" * 4] * 3)
+    state = em.State([em.tensor(M.from_seed(s, 0.97)) for s in ("GACCTG", "GGCATG")], ["GACCTG", "GGCATG"], [0.1, 0.1], np.full(4, 0.25), [em.Pair(0, 1, ("HT",), 2, 2, {("HT", 2): 0.3})])
+    f = em.flanks(reads, state, em.Config(two_strands=False))
+    assert set(f) == {("m", 0), ("m", 1), ("d", 0, "HT", 2)}
+    m = f["d", 0, "HT", 2]
+    assert m.shape == (4, 2 * 32 - 14) and M.best_string(m[:, 18:32])[:8] == "GACCTGTT"
+    rows = em.seed_report(reads, state, em.Config(two_strands=False, max_gap=2))
+    assert [(r["motif"], r["observed"]) for r in rows] == [("0", 3), ("1", 3), ("0-1", 3)]
+    assert rows[0]["expected"] == (3 * 23 + 3 * 27) / 4**6
+
+
+def test_commonest_completions_are_those_of_one_pattern(spark):
+    rng = random.Random(3)
+    reads = table(spark, ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(200)])
+    cases = [("ACNNT", 2, 2), ("RCNNT", 2, 2), ("GANNNC", 2, 3), ("ACGTACGTACGTNN", 12, 2)]
+    for both in (False, True):
+        got = W.commonest_completions(reads, cases, both)
+        assert got == [tuple(W.most_frequent_completion(reads, *c, both).first()) for c in cases]
+        assert W.pattern_counts(reads, [c[0] for c in cases], both) == [W.count_pattern(reads, c[0], both).first()["n"] for c in cases]
+    skipped = W.commonest_completions(reads, [("ACNNGT", 2, 2)], True, True)
+    assert skipped == [tuple(W.most_frequent_completion(reads, "ACNNGT", 2, 2, True, True).first())]
+
+
+def test_motifs_of_dimers_alone():
+    """From a weight of its dimers on, a motif's own sites no longer count."""
+    codes = em.encode(["ACGTTGACCTGACGTTGGCATGACGTACGTACG"] * 4)
+    for share, alone in ((0.2, True), (1.0, False)):
+        state = em.State([em.tensor(M.from_seed("GACCTG", 0.9)), em.tensor(M.from_seed("GGCATG", 0.9))], ["GACCTG", "GGCATG"], [0.1, 0.1], np.full(4, 0.25), [em.Pair(0, 1, ("HT",), 5, 5, {("HT", 5): 0.6})])
+        cfg = em.Config(two_strands=False, gate=False, purely_modular=share)
+        kernel = em.Kernel(state, cfg)
+        sums = np.zeros(kernel.size)
+        kernel.add(codes, sums)
+        new = em.maximization(state, cfg, kernel, sums, np.bincount(codes.ravel(), minlength=4).astype(float))
+        own, half = (kernel.get(sums, x, "m", 0).sum((0, 1)) for x in ("counts", "half"))
+        want = half if alone else half + own
+        assert np.allclose(em.ppm(new.models[0]), want / want.sum(0)) and own.sum() > 0
+
+
+def test_reads_with_ambiguous_bases_are_not_fitted():
+    with pytest.raises(ValueError, match="another letter"):
+        em.encode(["ACGN"])
