@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.storage import materialize
+from strandmill.storage import discard, materialize
 
 FIELDS, LEAST_LEAD, MOST_LEAD = 16, 2, 8
 MIN_TEXTS, UNRELATED = 3, 0.2
@@ -111,10 +111,12 @@ def recurring(documents: DataFrame) -> DataFrame:
     some = every.groupBy("leaf").agg(F.count("*").alias("k"), F.min(F.xxhash64("digest")).alias("a"), F.max(F.xxhash64("digest")).alias("b"))
     some = materialize(some.where((F.col("k") >= MIN_TEXTS) & (F.col("a") < F.col("b"))).select("leaf"), "shared")
     lines = materialize(every.join(some, "leaf", "left_semi").distinct(), "shared")  # equal texts once
+    discard(every, some)
     known = materialize(templates(lines), "templates")
     texts = materialize(related(documents), "texts")
     rows = lines.select("digest", "pos", "leaf", "line").join(known, ["leaf", "line"]).join(texts, "digest")
     rows = materialize(rows.select("digest", "pos", "leaf", "template", "first", "related"), "rows")
+    discard(lines, known, texts)
     count = rows.groupBy("leaf", "template", "related", "digest").agg(F.min("first").alias("first"))
     count = count.groupBy("leaf", "template", "related").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
     count = count.groupBy("leaf", "template").agg(F.count("*").alias("unrelated"), F.sum("texts").alias("texts"), F.min("first").alias("keeper"))
