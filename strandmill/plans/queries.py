@@ -42,9 +42,12 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight bases for each part, so that reads repeat and have near neighbours."""
-    s = F.translate(F.md5(F.col("p_partkey").cast("string")), _HEX, "ACGT" * 4)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("read_id"), F.substring(s, 1, 6).alias("seq"))
+    """Reads of sixteen bases, a number that grows with the table: of every twenty five copies of others, and three of
+    these with one base changed."""
+    key = F.col("p_partkey")
+    s = F.substring(F.translate(F.md5(F.when(key % 4 == 1, key - 1).otherwise(key).cast("string")), _HEX, "ACGT" * 4), 1, 16)
+    changed = F.concat(F.substring(s, 1, 5), F.translate(F.substring(s, 6, 1), "ACGT", "GTAC"), F.substring(s, 7, 10))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("read_id"), F.when((key % 4 == 1) & (key % 20 > 8), changed).otherwise(s).alias("seq"))
 
 
 def few_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,9 @@ def few_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 READS = f"""reads as (
   select event_id as read_id, case when event_id % 3 = 0 then concat(substring(s, 1, 6), '{MOTIF}', substring(s, 16, 5)) else substring(s, 1, 20) end as seq
   from (select event_id, translate(md5(cast(event_id as varchar)), '{_HEX}', '{"ACGT" * 4}') as s from events))"""
-SHORT = f"reads as (select p_partkey as read_id, substring(translate(md5(cast(p_partkey as varchar)), '{_HEX}', '{'ACGT' * 4}'), 1, 6) as seq from part)"
+SHORT = f"""reads as (
+  select read_id, case when read_id % 4 = 1 and read_id % 20 > 8 then concat(substring(s, 1, 5), translate(substring(s, 6, 1), 'ACGT', 'GTAC'), substring(s, 7)) else s end as seq
+  from (select p_partkey as read_id, substring(translate(md5(cast(case when p_partkey % 4 = 1 then p_partkey - 1 else p_partkey end as varchar)), '{_HEX}', '{"ACGT" * 4}'), 1, 16) as s from part))"""
 FEW = f"reads as (select s_suppkey as read_id, substring(translate(md5(cast(s_suppkey as varchar)), '{_HEX}', '{'ACGT' * 4}'), 1, 8) as seq from supplier)"
 RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 

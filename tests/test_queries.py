@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from strandmill.plans import em
+from strandmill.plans import em, model_queries  # noqa: F401
 from strandmill.plans.queries import ORACLE_SQL, QUERIES
 from tests.conftest import DATA, ROOT
 
