@@ -11,12 +11,21 @@ from strandmill.storage import new_path, remove
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language is not recognised."""
+    """Drops the documents whose language is not recognised, with those whose text is null, empty or without a letter.
+
+    Repeated rows are judged alike. A null lang teaches nothing; if all are null, every text with a letter stays. An
+    empty table stays empty; a very long text is read whole. All columns stay, whatever they are called.
+    """
     return langid.accepted(docs, langid.train(docs))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines of recurring templates out of the texts; no document goes. n_chars follows the text."""
+    """Takes lines of recurring templates out of the texts; no document goes. n_chars follows the text.
+
+    A null text stays null with its n_chars; a text that loses all lines is empty. Rows of equal texts are treated alike,
+    and ties for the smallest doc_id keep their lines. Rows without a doc_id, very long texts, empty tables and other
+    columns are as in ``lines.drop_lines``.
+    """
     out = lines.drop_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -24,17 +33,30 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
+    """Keeps one document of each class of near-duplicates, that of the smallest doc_id, once if its rows repeat.
+
+    Rows with a null doc_id or a null text are in no class with others and stay. Texts without words are one class for
+    each text. An empty table stays empty; very long texts are compared whole. All columns stay, whatever they are called.
+    """
     return minhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that each source comes near its target."""
+    """Repeats or leaves out documents so that each source comes near its target.
+
+    A null source is a source of its own, a null or empty text has no words, and a row without a doc_id is chosen by its
+    text. Ties in the hash go by size and doc_id. An empty table stays empty; a very long text counts whole. All columns
+    stay, whatever they are called.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids of each text, and the digests of ids and decoded text."""
+    """Adds the token ids of each text, and the digests of ids and decoded text.
+
+    A null or empty text has no ids. Repeated rows are encoded each, a very long text is encoded whole, in parts, and an
+    empty table stays empty. Columns of the input that have the names of new ones would stand beside them.
+    """
     out = bpe.with_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("document.*", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 

@@ -7,9 +7,10 @@ only begin at a position from which the bytes read so far are a proper prefix of
 longest token less one is the merge list's sufficient lookahead. The tokens before the point where the chains of
 all such positions meet can no longer change, and are emitted; the rest is the whole memory.
 
-Texts are first cut to pieces by the tokenizer's pattern, which bounds nothing but keeps most runs short. Many
-pieces run through the transducer in lockstep, one byte of each at a time, in numpy; what a piece became is
-remembered, up to a bound. Long pieces stream one by one.
+A text is a stream that is fed in parts. It is cut to pieces by the tokenizer's pattern as soon as a cut is certain,
+which bounds nothing but keeps most runs short. The pieces of many streams run through the transducer in lockstep,
+one byte of each at a time, in numpy; what a piece became is remembered, up to a bound. Longer ones (over LOCKSTEP
+bytes) go through it one by one, and one of thousands of characters while it arrives.
 """
 
 from __future__ import annotations
@@ -327,78 +328,155 @@ class Encoder:
         return [b"".join(map(get, c)) for c in cut]
 
 
-class StreamEncoder:
-    """A text in parts of any size; emits ids once they are certain, in memory that doesn't grow with the text."""
+class Stream:
+    """A text in parts of any size. What is certain comes out as pieces, and as ids of a piece too long to be held;
+    memory doesn't grow with the text."""
 
     HOLD = 3  # characters that a split may still depend on
     LONG = 4096
 
-    def __init__(self, merges: Merges):
-        self.encoder = Encoder(merges)
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
         self.text = ""
         self.run: PieceTransducer | None = None
         self.kind = None
-        self.widest = max([0, *map(len, merges.added)])
+        self.keep = max([self.HOLD, *map(len, encoder.m.added)])  # a part of an added token may stand at the end
 
     def _same(self, c: str) -> bool:
         return self.kind.fullmatch(c) is not None
 
-    def feed(self, part: str) -> list[int]:
+    def feed(self, part: str) -> list[str | list[int]]:
         self.text += part
-        out: list[int] = []
-        if self.run is not None:
-            out += self._continue()
+        out: list[str | list[int]] = [self._continue()] if self.run is not None else []
         if self.run is None and len(self.text) > self.LONG:
-            keep = max(self.HOLD, self.widest)  # a part of an added token may stand at the end
             pieces, n, at = self.encoder.pieces(self.text), 0, 0
-            while n < len(pieces) and at + len(pieces[n]) <= len(self.text) - keep:
+            while n < len(pieces) and at + len(pieces[n]) <= len(self.text) - self.keep:
                 at += len(pieces[n])
                 n += 1
-            out += np.frombuffer(b"".join(self.encoder.encode_pieces([pieces[:n]])), "<u4").tolist()
+            out += pieces[:n]
             self.text = self.text[at:]
             if n < len(pieces) and len(pieces[n]) > self.LONG // 2 and pieces[n] not in self.encoder.m.added:
                 self.kind = next(regex.compile(k) for k in (r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]") if regex.fullmatch(k, self.text[1]))
                 self.run = PieceTransducer(self.encoder.m)
-                out += self.run.feed(self.text[:2].encode())
+                out.append(self.run.feed(self.text[:2].encode()))
                 self.text = self.text[2:]
-                out += self._continue()
+                out.append(self._continue())
         return out
 
     def _continue(self) -> list[int]:
         """Feeds what surely belongs to the long piece; ends it where another kind of character comes."""
         n = next((k for k, c in enumerate(self.text) if not self._same(c)), len(self.text))
         if n == len(self.text):
-            n = max(0, n - max(self.HOLD, self.widest))
+            n = max(0, n - self.keep)
             out, self.text = self.run.feed(self.text[:n].encode()), self.text[n:]
             return out
-        space = self.kind.pattern == r"\s"
-        n -= space  # the last space goes with what follows
+        n -= self.kind.pattern == r"\s"  # the last space goes with what follows
         out = self.run.feed(self.text[:n].encode()) + self.run.finish()
         self.text, self.run = self.text[n:], None
         return out
 
-    def finish(self) -> list[int]:
-        out: list[int] = []
+    def finish(self) -> list[str | list[int]]:
+        out: list[str | list[int]] = []
         if self.run is not None:
             n = next((k for k, c in enumerate(self.text) if not self._same(c)), len(self.text))
             n -= n < len(self.text) and self.kind.pattern == r"\s"
-            out += self.run.feed(self.text[:n].encode()) + self.run.finish()
+            out.append(self.run.feed(self.text[:n].encode()) + self.run.finish())
             self.text, self.run = self.text[n:], None
-        out += np.frombuffer(b"".join(self.encoder.encode([self.text])), "<u4").tolist()
+        out += self.encoder.pieces(self.text)
         self.text = ""
         return out
 
 
+def ids_of(encoder: Encoder, items: list[list[str | list[int]]]) -> list[bytes]:
+    """Little-endian 32-bit ids of what came out of several streams; the new pieces of all go through the transducer together."""
+    made = iter(encoder.encode_pieces([[x for x in one if isinstance(x, str)] for one in items]))
+    out = []
+    for one in items:
+        raw = next(made)
+        if any(not isinstance(x, str) for x in one):
+            get = encoder.memo.__getitem__
+            raw = b"".join(get(x) if isinstance(x, str) else np.array(x, "<u4").tobytes() for x in one)
+        out.append(raw)
+    return out
+
+
+class StreamEncoder:
+    """The ids of one text that comes in parts."""
+
+    def __init__(self, merges: Merges):
+        self.stream = Stream(Encoder(merges))
+
+    def _ids(self, items: list[str | list[int]]) -> list[int]:
+        return np.frombuffer(ids_of(self.stream.encoder, [items])[0], "<u4").tolist()
+
+    def feed(self, part: str) -> list[int]:
+        return self._ids(self.stream.feed(part))
+
+    def finish(self) -> list[int]:
+        return self._ids(self.stream.finish())
+
+
+class Decoder:
+    """Ids to text in parts. The state between parts is an unfinished character's bytes; malformed bytes become U+FFFD."""
+
+    def __init__(self, merges: Merges):
+        self.m = merges
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: np.ndarray) -> str:
+        if not len(ids):
+            return ""
+        some = ids.astype(np.int64)
+        size = self.m.sizes[some]
+        end = np.cumsum(size)
+        raw = self.m.flat[np.repeat(self.m.at[some] - (end - size), size) + np.arange(end[-1])]
+        return self.machine.decode(raw.tobytes())
+
+    def finish(self) -> str:
+        return self.machine.decode(b"", True)
+
+
 def decode(merges: Merges, ids: np.ndarray, at_once: int = 1 << 16) -> Iterator[str]:
-    """The text of ``ids`` in parts. The state between parts is an unfinished character's bytes; malformed bytes become U+FFFD."""
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
+    """The text of ``ids`` in parts."""
+    machine = Decoder(merges)
     for k in range(0, len(ids), at_once):
-        some = ids[k : k + at_once].astype(np.int64)
-        size = merges.sizes[some]
-        end = np.cumsum(size)
-        raw = merges.flat[np.repeat(merges.at[some] - (end - size), size) + np.arange(end[-1])]
-        yield machine.decode(raw.tobytes())
-    yield machine.decode(b"", True)
+        yield machine.feed(ids[k : k + at_once])
+    yield machine.finish()
+
+
+#: Characters of a text that its stream is fed at a time.
+PART = 1 << 16
+
+
+class RoundTrip:
+    """One text's stream, and what its ids and their decoded text come to."""
+
+    def __init__(self, encoder: Encoder, text: str, full: tuple[str, ...]):
+        self.text, self.at, self.full = text, 0, full
+        self.stream, self.decoder = Stream(encoder), Decoder(encoder.m)
+        self.n, self.ids_digest, self.text_digest = 0, hashlib.sha256(), hashlib.sha256()
+        self.ids: list[np.ndarray] = []
+        self.parts: list[str] = []
+
+    def items(self) -> list[str | list[int]]:
+        """What comes out of the next part."""
+        part = self.text[self.at : self.at + PART]
+        self.at += PART
+        out = self.stream.feed(part)
+        return out + self.stream.finish() if self.at >= len(self.text) else out
+
+    def take(self, raw: bytes) -> bool:
+        """Adds ids; whether that were the last."""
+        ids, last = np.frombuffer(raw, "<u4"), self.at >= len(self.text)
+        self.n += len(ids)
+        self.ids_digest.update(raw)
+        part = self.decoder.feed(ids) + (self.decoder.finish() if last else "")
+        self.text_digest.update(part.encode())
+        if "ids" in self.full:
+            self.ids.append(ids.astype(np.int32))
+        if "decoded" in self.full:
+            self.parts.append(part)
+        return last
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -411,33 +489,26 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], full:
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
-            rows = [[] for _ in range(5)]
-            for raw in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
-                ids = np.frombuffer(raw, "<u4")
-                digest, parts = hashlib.sha256(), []
-                for part in decode(encoder.m, ids):
-                    digest.update(part.encode())
-                    if "decoded" in full:
-                        parts.append(part)
-                rows[0].append(len(ids))
-                rows[1].append(hashlib.sha256(raw).hexdigest())
-                rows[2].append(digest.hexdigest())
-                rows[3].append(ids.astype(np.int32) if "ids" in full else None)
-                rows[4].append("".join(parts))
-            out = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
+            texts = [RoundTrip(encoder, t or "", full) for t in batch.column("text").to_pylist()]
+            open_ = texts
+            while open_:  # a part of each text at a time
+                raws = ids_of(encoder, [t.items() for t in open_])
+                open_ = [t for t, raw in zip(open_, raws, strict=True) if not t.take(raw)]
+            out = [pa.array([t.n for t in texts], pa.int64()), pa.array([t.ids_digest.hexdigest() for t in texts]), pa.array([t.text_digest.hexdigest() for t in texts])]
             if "ids" in full:
-                out.append(pa.array(rows[3], pa.list_(pa.int32())))
+                out.append(pa.array([np.concatenate(t.ids) for t in texts], pa.list_(pa.int32())))
             if "decoded" in full:
-                out.append(pa.array(rows[4], pa.string()))
+                out.append(pa.array(["".join(t.parts) for t in texts], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *full])
 
 
 def encode_decode(documents: DataFrame, path: str, full: bool = True) -> DataFrame:
     """One row per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``full`` ids and decoded text.
 
-    No shuffle: each Arrow batch is encoded where it is read. A null text is the empty text, with no ids. Added
-    tokens in a text get their own id, as the tokenizers library does. A null doc_id stays null, repeated rows are
-    encoded each, and other columns are not read. ``StreamEncoder`` takes a text in parts, in constant memory.
+    No shuffle: each Arrow batch is encoded where it is read. Texts run through their streams a part at a time, many
+    texts side by side; a very long text takes more rounds, and memory beside the text itself stays the same. A null
+    text is the empty text, with no ids. Added tokens in a text get their own id, as the tokenizers library does. A
+    null doc_id stays null, repeated rows are encoded each, and other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     more = ("ids", "decoded") if full else ()

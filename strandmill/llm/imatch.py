@@ -6,8 +6,8 @@ little about likeness. A lexicon subset keeps each term with a probability of 1,
 each, by a hash of the term. A document's fingerprint has one hash for each subset, of the sorted terms it has
 there; likeness is the share of equal ones among the subsets that either document has terms in.
 
-The lexicon can be broadcast: a text has at most d distinct terms on average, so at most d / least terms can
-reach the lower end of the band, whatever the size of the corpus.
+The lexicon is bounded: a text has d distinct terms on average, so at most d / least terms can reach the lower end
+of the band, whatever the size of the corpus. It is broadcast behind a check of its size.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ SCALES, SUBSETS = 9, 8
 #: Hex digits of a subset's hash in the fingerprint.
 DIGITS = 6
 SPACE = r"[\x20\x09-\x0D]+"
-#: Ids of a block of neighbours.
-FAN = 256
+#: A lexicon of at most as many terms is broadcast; a larger one is joined by a shuffle.
+BROADCAST_TERMS = 2_000_000
+#: A block of neighbours has 2^FAN_BITS consecutive ids.
+FAN_BITS = 8
 
 
 def terms(text: Column) -> Column:
@@ -39,22 +41,18 @@ def lexicon(documents: DataFrame, least: float = LEAST, most: float = MOST) -> D
     return seen.where((F.col("df") >= max(2, least * total)) & (F.col("df") <= most * total)).select("term")
 
 
-def following(keys: DataFrame, key: str, levels: int = 2) -> DataFrame:
+def following(keys: DataFrame, key: str) -> DataFrame:
     """(key, next) for distinct ascending integers; next of the last is null.
 
-    Neighbours are found within blocks of FAN consecutive integers; the first key of each block follows the last
-    of the block before it, and which block that is, is the same question with FAN times fewer rows.
+    Keys are dealt to sorted ranges, whatever their gaps are. The next key is in the same range, or it is the first of
+    the next range, of which there is one row each.
     """
-    block = F.floor(F.col(key) / FAN)
-    own = Window.partitionBy("block").orderBy(key)
-    rows = keys.select(key, block.alias("block")).withColumn("next", F.lead(key).over(own))
-    heads = keys.groupBy(block.alias("block")).agg(F.min(key).alias("head"))
-    if levels:
-        order = following(heads.select(F.col("block").alias(f"at{levels}")), f"at{levels}", levels - 1).withColumnRenamed(f"at{levels}", "block")
-    else:
-        order = heads.select("block", F.lead("block").over(Window.orderBy("block")).alias("next"))
-    order = order.withColumnRenamed("next", "then").join(heads.select(F.col("block").alias("then"), "head"), "then", "left").select("block", "head")
-    ends = rows.where("next is null").join(order, "block", "left").select(key, F.col("head").alias("next"))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(keys.select(key).repartitionByRange(n, key).withColumn("range", F.spark_partition_id()), "ranges")
+    rows = ranged.withColumn("next", F.lead(key).over(Window.partitionBy("range").orderBy(key)))
+    heads = ranged.groupBy("range").agg(F.min(key).alias("head"))  # at most n rows
+    heads = heads.select("range", F.lead("head").over(Window.orderBy("range")).alias("then"))
+    ends = rows.where("next is null").join(F.broadcast(heads), "range").select(key, F.col("then").alias("next"))
     return rows.where("next is not null").select(key, "next").unionByName(ends)
 
 
@@ -62,11 +60,11 @@ def with_next(documents: DataFrame) -> tuple[DataFrame, WindowSpec]:
     """(doc_id, void, block, last, text, next_text), and the window that orders them: next_text is the text of the
     next doc_id, after the last that of the first; of one doc_id's texts, in their order.
 
-    Texts are dealt once, to blocks of FAN consecutive ids, where the next one is at hand. Each block also gets a
+    Texts are dealt once, to blocks of 256 consecutive ids, where the next one is at hand. Each block also gets a
     copy of the first text of the block after it (rows with ``last``). Rows without an id have no next (void).
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.col("doc_id").isNull().alias("void"), F.coalesce(F.floor(F.col("doc_id") / FAN), F.xxhash64("text")).alias("block"), F.lit(False).alias("last"), "text")
+    rows = rows.select("doc_id", F.col("doc_id").isNull().alias("void"), F.coalesce(F.shiftright("doc_id", FAN_BITS), F.xxhash64("text")).alias("block"), F.lit(False).alias("last"), "text")
     heads = materialize(rows.where("not void").groupBy("block").agg(F.min("doc_id").alias("head")), "heads")
     order = following(heads.select(F.col("block").alias("at")), "at").withColumnsRenamed({"at": "block"}).withColumnsRenamed({"block": "before", "next": "block"})
     first = heads.agg(F.min("block")).first()[0]
@@ -103,7 +101,7 @@ def _lexicon_terms(rows: DataFrame, keys: list[str], texts: dict[str, str], word
     """For each row (unique in ``keys``): ``extra``, and for each text its sorted lexicon terms and a hash of all its terms.
 
     The terms of all texts of a row are exploded once, behind a sentinel that every row has and that carries the
-    other columns; position tells the texts apart. The lexicon is bounded (see above), so its join is a broadcast;
+    other columns; position tells the texts apart. The lexicon is bounded (see above), and its join a broadcast up to a size;
     the rows of a key stay in the task they are in, if that is how they are partitioned.
     """
     names = list(texts)
@@ -114,7 +112,7 @@ def _lexicon_terms(rows: DataFrame, keys: list[str], texts: dict[str, str], word
     every = F.concat(F.array(F.lit(SENTINEL).cast("long")), *[F.col(f"{n}_t") for n in names])
     split = rows.select(*keys, *carried, *[f"{n}_n" for n in names], F.posexplode(every).alias("pos", "term"))
     known = words.unionByName(words.sparkSession.range(1).select(F.lit(SENTINEL).cast("long").alias("term")))
-    split = split.join(F.broadcast(known), "term")
+    split = split.join(F.broadcast(known) if words.count() <= BROADCAST_TERMS else known, "term")
     head = F.col("pos") == 0
     upto, side = F.lit(0), {}
     for n in names:
@@ -147,7 +145,8 @@ def compare_edited(documents: DataFrame, least: float = LEAST, most: float = MOS
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. A null text is
     empty. A text without a term of the lexicon has the hash of all its terms alone; one without words has an empty
     fingerprint, like 1 to another such and 0 to any other. A row without a doc_id is edited with an empty text
-    and compared with an empty next one. Rows that repeat a doc_id follow each other. Other columns are not read.
+    and compared with an empty next one. Rows that repeat a doc_id follow each other. Other columns are not read. An
+    empty table gives an empty one. A very long text is one row of its distinct terms, and its cost grows with them.
     """
     words = materialize(lexicon(documents, least, most), "lexicon")
     rows, own = with_next(documents)

@@ -221,7 +221,9 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """One row per row: doc_id, lang_pred, score, accepted (not rejected), from the whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0 and is rejected; so is a score below the model's
-    threshold or a text unlike its language, which keep lang_pred. Without a model all is ``und``, and what has a letter is accepted. No shuffle; other columns are not read.
+    threshold or a text unlike its language, which keep lang_pred. Without a model all is ``und``, and what has a letter
+    is accepted. Equal texts are predicted alike, so repeated rows are too. A very long text is summed in a block of its
+    own. An empty table gives an empty one. No shuffle; other columns are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(~F.col("text").rlike(NO_LETTER), F.lit(False)).alias("letters"))
     return rows.mapInArrow(lambda it: _predict(it, model), "doc_id long, lang_pred string, score double, accepted boolean")

@@ -17,15 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
 BITS, LEVEL_BITS, LEVELS = 60, 12, 3
+#: The table of sources is broadcast if it has at most as many rows.
+BROADCAST_SOURCES = 10_000
 
 
 def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def hash_of(doc_id: Column) -> Column:
-    """60 bits of the md5 of the id."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """60 bits of the md5 of the id, or without one of the text."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -50,12 +52,12 @@ def mix(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted), copies, and the columns ``keep``.
 
     Rows are taken by the hash of their doc_id, so reruns agree. A null text has no words; a null source is a
-    source of its own, the last; rows without an id share one hash and are told apart one by one, as are repeated
-    ids. A document at the threshold is taken if more than half of it fits, so a source ends within half a document
+    source of its own, the last; rows without an id are taken by the hash of their text. Rows of one hash (repeated
+    ids, or texts without an id) are told apart one by one. A document at the threshold is taken if more than half of it fits, so a source ends within half a document
     of its target. Very long texts are counted by a regular expression, in constant memory; an empty table
     gives an empty one. Other columns are not read.
     """
-    rows = documents.select("doc_id", "source", *keep, size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))
+    rows = documents.select("doc_id", "source", *keep, size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
     rows = materialize(rows, "sizes")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     plan = plan.withColumn("passes", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))), F.lit(0)).cast("long"))
@@ -73,6 +75,7 @@ def mix(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights: t
         edge = materialize(edge.select("s", "budget", F.col("e.base").alias("base"), F.col("e.bin").alias("prefix")), "edge", 1)
 
     known = plan.join(edge.drop("budget"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "passes", "budget", "base", "prefix")
+    known = F.broadcast(known) if plan.count() <= BROADCAST_SOURCES else known
     out = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).withColumn("side", F.shiftright("h", shift) - F.col("prefix"))
     clear = out.where("side is null or side <> 0").withColumn("extra", F.when(F.col("side") < 0, 1).otherwise(0))
     order = Window.partitionBy("s").orderBy("h", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +95,7 @@ def mixed(documents: DataFrame, share: float = SHARE, cap: float = CAP, weights:
 ORACLE = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         cast('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15) as bigint) as h
+         cast('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 15) as bigint) as h
   from documents),
 s as (
   select source, sum(size)::bigint as source_size,

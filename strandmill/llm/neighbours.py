@@ -101,15 +101,40 @@ def _cut_ids(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("vector").take(pa.array(first)), lists], ["vector", "ids"])
 
 
+def differences(queries: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to each query, from plain differences; a few million numbers at a time."""
+    out = np.empty((len(queries), len(x)))
+    step = max(1, (1 << 22) // max(1, x.size))
+    for at in range(0, len(queries), step):
+        out[at : at + step] = np.sqrt(((x[None] - queries[at : at + step, None]) ** 2).sum(2))
+    return out
+
+
+def _first(distance: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest of each row, ties to the first."""
+    return np.argsort(distance, 1, kind="stable")[:, :k]
+
+
 def nearest(queries: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, distances) of the k rows of x nearest to each query. Norms and products sift, differences decide."""
-    more = min(len(x), 2 * k + 8)
-    rough = (x * x).sum(1) - 2 * queries @ x.T
-    some = np.argpartition(rough, more - 1, 1)[:, :more] if more < len(x) else np.broadcast_to(np.arange(len(x)), (len(queries), len(x)))
-    some = np.sort(some, 1)
-    exact = np.sqrt(((x[some] - queries[:, None]) ** 2).sum(2))
-    order = np.argsort(exact, 1, kind="stable")[:, :k]
-    return np.take_along_axis(some, order, 1), np.take_along_axis(exact, order, 1)
+    """(indices, distances) of the k rows of x nearest to each query, ties to the first. Norms and products of the
+    centred block sift: a row stays unless rounding can't explain that it is farther than the k-th. Differences decide."""
+    k = min(k, len(x))
+    centre = x.mean(0)
+    y, q = x - centre, queries - centre
+    norms, own = (y * y).sum(1), (q * q).sum(1)
+    rough = norms - 2 * q @ y.T + own[:, None]
+    with np.errstate(invalid="ignore", over="ignore"):
+        # of the sums above, and of what centring took from the vectors; norms bound both
+        slack = 64 * np.finfo(float).eps * (x.shape[1] + 4) * (norms.max() + own + (np.abs(centre) ** 2).sum())
+    kth = np.partition(rough, k - 1, 1)[:, k - 1]
+    index, distance = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
+    stays = ~(rough > (kth + 2 * slack)[:, None])  # what isn't finite stays
+    for i in range(len(queries)):
+        some = np.flatnonzero(stays[i])
+        exact = differences(queries[i : i + 1], x[some])
+        order = _first(exact, k)[0]
+        index[i], distance[i] = some[order], exact[0, order]
+    return index, distance
 
 
 _FOUND = "query long, rep long, distance double"
@@ -118,7 +143,9 @@ _FOUND = "query long, rep long, distance double"
 def _brute(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            at, distance = nearest(queries, vectors_of(batch.column("vector")), k + 1)
+            distance = differences(queries, vectors_of(batch.column("vector")))
+            at = _first(distance, k + 1)
+            distance = np.take_along_axis(distance, at, 1)
             rep = batch.column("rep").to_numpy()[at]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, at.shape[1])), pa.array(rep.ravel()), pa.array(distance.ravel())], ["query", "rep", "distance"])
 

@@ -147,7 +147,9 @@ def resample(documents: DataFrame, ratio: Ratio, share: float) -> DataFrame:
     """One row per row: doc_id, log_weight, score (with Gumbel noise), keep.
 
     ``share`` of the rows are kept, those with the largest scores; rows that tie with the last one are kept too. A null or empty
-    text has weight 0. Rows that repeat a doc_id share their noise; rows without one share another. Other columns are not read.
+    text has weight 0. Rows that repeat a doc_id share their noise; rows without one share another. A very long text is
+    scored in a block of its own, so memory is bounded by the longest. An empty table gives an empty one. Other columns
+    are not read.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", F.lit("gumbel")).alias("noise"))
     scored = materialize(rows.mapInArrow(lambda it: _score(it, ratio), "doc_id long, log_weight double, score double, key long"), "scores")

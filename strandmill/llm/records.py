@@ -150,28 +150,31 @@ def id_type(path: str) -> str:
 def _write(batches: Iterator[pa.RecordBatch], path: str, folder: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, library_encoder(path))
     gc.disable()  # what is remembered has no cycles, and would be searched for them again and again
-    dtype, part = id_type(path), TaskContext.get().partitionId()
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root)
-    name = f"part-{part:06d}-{uuid.uuid4().hex}"
-    n_docs = n_tokens = at = 0
-    with store.open_output_stream(f"{root}/{name}.rec") as records, store.open_output_stream(f"{root}/{name}.idx") as index:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                ids = [np.append(np.frombuffer(x, "<u4"), end_id).astype(dtype) for x in encoder.encode([t or "" for t in some.column("text").to_pylist()])]
-                framed = frame(ids)
-                rows = np.zeros((len(ids), 4), "<i8")
-                key = some.column("doc_id")
-                rows[:, 0], rows[:, 1] = key.fill_null(0).to_numpy(), key.is_valid().to_numpy(zero_copy_only=False)
-                size = np.array([len(x) for x in framed])
-                rows[:, 2], rows[:, 3] = at + np.cumsum(size) - size, [len(x) for x in ids]
-                records.write(b"".join(framed))
-                index.write(rows.tobytes())
-                at += int(size.sum())
-                n_docs += len(ids)
-                n_tokens += int(rows[:, 3].sum())
-    yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+    try:
+        dtype, part = id_type(path), TaskContext.get().partitionId()
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
+        n_docs = n_tokens = at = 0
+        with store.open_output_stream(f"{root}/{name}.rec") as records, store.open_output_stream(f"{root}/{name}.idx") as index:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    some = batch.slice(k, 256)
+                    ids = [np.append(np.frombuffer(x, "<u4"), end_id).astype(dtype) for x in encoder.encode([t or "" for t in some.column("text").to_pylist()])]
+                    framed = frame(ids)
+                    rows = np.zeros((len(ids), 4), "<i8")
+                    key = some.column("doc_id")
+                    rows[:, 0], rows[:, 1] = key.fill_null(0).to_numpy(), key.is_valid().to_numpy(zero_copy_only=False)
+                    size = np.array([len(x) for x in framed])
+                    rows[:, 2], rows[:, 3] = at + np.cumsum(size) - size, [len(x) for x in ids]
+                    records.write(b"".join(framed))
+                    index.write(rows.tobytes())
+                    at += int(size.sum())
+                    n_docs += len(ids)
+                    n_tokens += int(rows[:, 3].sum())
+        yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]}, pa.schema([("part", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+    finally:
+        gc.enable()
 
 
 def write_records(documents: DataFrame, path: str, folder: str, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
@@ -220,6 +223,11 @@ def read_records(manifest: DataFrame, folder: str, dtype: str) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, path: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
-    """Writes all documents to ``folder`` (default: a new one in the shared folder) and reads them back."""
+    """Writes all documents to ``folder`` (default: a new one in the shared folder) and reads them back.
+
+    One row per row. A null text is its end id alone; a null doc_id comes first and stays null; rows that repeat a
+    doc_id are records of their own, in order of text. A very long text is one record, held whole by its task. An empty
+    table gives an empty one. Other columns are not read.
+    """
     folder = folder or new_path(documents.sparkSession, "records")
     return read_records(write_records(documents, path, folder, end_id), folder, id_type(path))

@@ -339,7 +339,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, run: int = RUN, b
     is removed; windows are judged on the input. A null or empty text, and one shorter than a window, loses
     nothing. A null doc_id takes no part and keeps its words. Rows that repeat a doc_id count as one place each:
     of windows that tie in doc_id and start, one is the first, and what repeats is removed from all rows of that
-    doc_id. Very long texts are blocks of their own, so memory is bounded by the longest. Other columns are not read.
+    doc_id. Very long texts are blocks of their own, so memory is bounded by the longest. An empty table gives an
+    empty one. Other columns are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_windows(documents, window, run, batches, **more)

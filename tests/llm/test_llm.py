@@ -127,6 +127,25 @@ def test_recall_on_the_table(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_nearest_is_exact():
+    """With ties, and with small differences of large vectors."""
+    rng = np.random.default_rng(3)
+    for x in (rng.integers(0, 2, (2000, 12)), 1e6 + 1e-3 * rng.normal(size=(2000, 12)), rng.normal(size=(2000, 12)) * 10.0 ** rng.integers(-150, 150, (2000, 1)), rng.normal(size=(5, 3))):
+        x = x.astype(float)
+        index, distance = neighbours.nearest(x[:40], x, 11)
+        for i, q in enumerate(x[:40]):
+            d = np.sqrt(((x - q) ** 2).sum(1))
+            want = np.lexsort((np.arange(len(x)), d))[:11]
+            assert index[i].tolist() == want.tolist() and distance[i].tolist() == d[want].tolist()
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Rows that repeat an id count once if their vectors are equal; otherwise each is a candidate."""
+    rows = [(0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (1, [0.0, 4.0]), (2, [0.0, 3.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i == 0).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 1.0), (2, 2, 2.0), (3, 1, 3.0)]
+
+
 # fingerprints
 
 
@@ -149,6 +168,12 @@ def test_imatch(spark, docs, rows):
     assert plain == {i: r["fingerprint"] for i, r in out.items()}
 
 
+def test_imatch_equals_brute_force(spark, docs, rows):
+    got = {r["doc_id"]: tuple(r)[1:] for r in imatch.compare_edited(docs, least=0.02).collect()}
+    want = brute.imatch([(r["doc_id"], r["text"]) for r in rows], 0.02, imatch.MOST)
+    assert got == want
+
+
 def test_lexicon_and_word_order(spark, docs, rows):
     df = Counter(w for r in rows for w in set(brute.words(r["text"].lower())))
     want = sum(max(2, 0.02 * len(rows)) <= n <= 0.2 * len(rows) for n in df.values())
@@ -159,9 +184,10 @@ def test_lexicon_and_word_order(spark, docs, rows):
 
 
 def test_following(spark):
-    ids = sorted(random.Random(1).sample(range(-(10**7), 10**7), 300))
-    got = {r["k"]: r["next"] for r in imatch.following(spark.createDataFrame([(i,) for i in ids], "k long"), "k").collect()}
-    assert got == dict(zip(ids, [*ids[1:], None]))
+    for ids in (random.Random(1).sample(range(-(10**7), 10**7), 300), list({random.Random(k).randrange(-(2**63), 2**63) for k in range(300)}), [7], []):
+        ids = sorted(ids)
+        got = {r["k"]: r["next"] for r in imatch.following(spark.createDataFrame([(i,) for i in ids], "k long"), "k").collect()}
+        assert got == dict(zip(ids, [*ids[1:], None]))
 
 
 # substrings
@@ -306,6 +332,13 @@ def test_quality_counts_and_threshold(spark):
     assert out.where("keep").count() == 30 and out.orderBy("doc_id").collect() == again.orderBy("doc_id").collect()
 
 
+def test_quality_equals_brute_force(spark, docs, rows):
+    labels = [(r["doc_id"], int(i % 3 > 0)) for i, r in enumerate(rows) if i % 2]
+    got = {r["doc_id"]: (r["log_weight"], r["score"], r["keep"]) for r in quality.select_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    want = brute.quality([(r["doc_id"], r["text"]) for r in rows], dict(labels))
+    assert all(np.allclose(got[i][:2], want[i][:2], atol=1e-9) and got[i][2] == want[i][2] for i in want) and got.keys() == want.keys()
+
+
 # mixing
 
 
@@ -350,7 +383,7 @@ def test_bpe_equals_library(library):
 
 
 def test_stream_equals_library(library, monkeypatch):
-    monkeypatch.setattr(bpe.StreamEncoder, "LONG", 60)
+    monkeypatch.setattr(bpe.Stream, "LONG", 60)
     rng = random.Random(6)
     for t in odd_texts(300):
         stream, out, k = bpe.StreamEncoder(bpe.load(PATH)), [], 0
@@ -366,8 +399,8 @@ def test_stream_memory_is_constant():
     most = 0
     for part in ["ab" * 500] * 40 + [" word"] * 3000:
         stream.feed(part)
-        most = max(most, len(stream.text) + (len(stream.run.tail) if stream.run else 0))
-    assert most < 3 * stream.LONG
+        most = max(most, len(stream.stream.text) + (len(stream.stream.run.tail) if stream.stream.run else 0))
+    assert most < 3 * bpe.Stream.LONG
 
 
 def test_decode_malformed(library):
@@ -421,6 +454,15 @@ def test_language_accuracy(spark):
     assert np.mean([r["accepted"] for r in out]) > 0.97 and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_equals_a_plain_forward_pass(spark, docs, rows):
+    model = langid.train(docs)
+    for r in langid.identify(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        p, like = brute.language(model, r["text"])
+        best = max(range(len(p)), key=lambda k: p[k])
+        assert r["lang_pred"] == model.languages[best] and np.isclose(r["score"], p[best], atol=1e-6)
+        assert r["accepted"] == (p[best] >= model.threshold and like[best] >= model.least) or min(abs(p[best] - model.threshold), abs(like[best] - model.least)) < 1e-5
+
+
 def test_language_is_of_the_text_alone(spark, docs):
     model = langid.train(docs)
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? 34"), (4, "kalomi tu")], "doc_id long, text string")
