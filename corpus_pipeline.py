@@ -55,10 +55,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids of each text, and the digests of ids and decoded text.
 
     A null or empty text has no ids. Repeated rows are encoded each, a very long text is encoded whole, in parts, and an
-    empty table stays empty. Columns of the input that have the names of new ones would stand beside them.
+    empty table stays empty. A column of the input that has the name of a new one gives way to it.
     """
+    new = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     out = bpe.with_ids(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("document.*", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return out.select(*[F.col("document").getField(c).alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
 STAGES = [

@@ -47,3 +47,9 @@ def test_stages_of_no_documents(spark, messy):
     docs = messy.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+def test_encoding_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a text", "x", "y")], "doc_id long, text string, Ids string, n_tokens string")
+    row = corpus_pipeline.encode(spark, docs, DATA).first()
+    assert list(row.asDict()) == ["doc_id", "text", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and row["n_tokens"] == len(row["ids"])
