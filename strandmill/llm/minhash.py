@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.components import components
 from strandmill.llm.text import U64, bags, blocks, mix, shingles, stream, tidied, words
-from strandmill.storage import materialize
+from strandmill.storage import discard, materialize
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -156,7 +156,8 @@ def near_duplicate_links(docs: DataFrame, signed: DataFrame, least: float = SIMI
     texts = materialize(docs.where("text is not null").join(ids.hint("merge"), "id", "left_semi").select("id", "text").distinct(), "candidates")
     both = spokes.hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = both.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    spokes = materialize(both.mapInArrow(lambda it: verify(it, width), "a long, b long, similarity double"), "verified")
+    pairs, spokes = spokes, materialize(both.mapInArrow(lambda it: verify(it, width), "a long, b long, similarity double"), "verified")
+    discard(members, pivots, pairs)
     near = spokes.where(F.col("similarity") >= least).select("a", "b")
 
     roots = materialize(components(near), "roots")
