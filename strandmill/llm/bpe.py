@@ -307,16 +307,19 @@ class Encoder:
         if self.one is None:
             return self.encode_pieces([self.pieces(t) for t in texts])
         plain = [not (_NO_CUT.search(t) or t[:1] == " " or t[-1:] == " " or (self.m.added_pattern and self.m.added_pattern.search(t))) for t in texts]
-        cut = [t.split(" ") for t, p in zip(texts, plain, strict=True) if p]
-        heads = self.encode_pieces([self.pieces(w[0]) for w in cut])
-        for w in cut:
-            w[0] = ""
+        slow = iter(self.encode_pieces([self.pieces(t) for t, p in zip(texts, plain, strict=True) if not p]))
         self.words.age(self.remembered // 2)
         self.words[""] = b""
-        get = self.words.__getitem__
-        fast = iter([h + b"".join(map(get, w)) for h, w in zip(heads, cut, strict=True)])
-        slow = iter(self.encode_pieces([self.pieces(t) for t, p in zip(texts, plain, strict=True) if not p]))
-        return [next(fast if p else slow) for p in plain]
+        word, piece = self.words.__getitem__, self.memo.__getitem__
+        out = []
+        for t, p in zip(texts, plain, strict=True):
+            if not p:
+                out.append(next(slow))
+                continue
+            w = t.split(" ")  # one text at a time, so that its words stay in the processor's cache
+            head, w[0] = b"".join(map(piece, self.pieces(w[0]))), ""
+            out.append(head + b"".join(map(word, w)))
+        return out
 
     def encode_pieces(self, cut: list[list[str]]) -> list[bytes]:
         self.memo.age(self.remembered // (2 if self.one is None else 4))
