@@ -32,7 +32,7 @@ WINDOW, RUN = 20, 6
 BATCHES = 2
 FAN_OUT = 4
 #: Bytes of input for each bucket of the index; a bucket's anchors and windows are sorted in one task.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 _LOG = "bucket int, generation int, anchors binary, docs binary, doc_id long, anchor long"
 
 
