@@ -34,6 +34,8 @@ from strandmill.storage import materialize, new_path, plan_bytes
 
 END_ID = 2
 SHARD_BYTES = 32 << 20
+#: Rows of the manifest in each of its files.
+SHARDS_A_FILE = 4096
 U32 = np.uint32
 
 
@@ -186,7 +188,8 @@ def write_records(documents: DataFrame, path: str, folder: str, end_id: int = EN
     spark = documents.sparkSession
     n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(documents) // SHARD_BYTES + 1)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(lambda it: _write(it, path, folder, end_id), "part int, name string, n_docs long, n_tokens long"), "manifest")
+    manifest = rows.mapInArrow(lambda it: _write(it, path, folder, end_id), "part int, name string, n_docs long, n_tokens long")
+    return materialize(manifest.repartition(n // SHARDS_A_FILE + 1), "manifest")
 
 
 @tidied
