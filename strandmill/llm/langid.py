@@ -33,6 +33,8 @@ BUCKETS, WIDTH, EPOCHS, RATE = 1 << 15, 16, 8, 0.5
 REJECTED = 0.001
 #: Added to the count of each bucket in a language.
 SMOOTH = 0.1
+#: Bytes of text whose subwords are held at a time in predictions; three for each byte.
+PREDICTED = 1 << 18
 UNKNOWN = "und"
 NO_LETTER = r"^\P{L}*$"
 
@@ -78,7 +80,7 @@ class Model:
         """Calibrated probabilities, rows x languages, and the likelihood in the most probable one. Buckets are summed
         a block at a time."""
         out, like = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for a, b, data, offsets in blocks(texts):
+        for a, b, data, offsets in blocks(texts, PREDICTED):
             row, bucket = subwords(data, offsets)
             n = np.maximum(np.bincount(row, minlength=b - a), 1)
             for k in range(len(self.languages)):

@@ -107,8 +107,8 @@ class Words:
         return out
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of blocks of rows with about BLOCK bytes; null is empty."""
+def blocks(texts: pa.Array, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of blocks of rows with about ``size`` bytes (0: BLOCK); null is empty."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
         texts = texts.fill_null("")
@@ -120,7 +120,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (size or BLOCK), "right")) - 1)
         yield at, to, raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
