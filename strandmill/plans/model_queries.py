@@ -290,12 +290,12 @@ def adm_learned(spark, sf_dir):
     return _adm_table(spark, _learned(spark, sf_dir))
 
 
-@query(f"{_LEARNED} select col, prev, base, round(n / sum(n) over (partition by col, prev), 4) as p from d")
+@query(f"{_LEARNED}, x as (select col, prev, base, round(n / sum(n) over (partition by col, prev), 6) as r from d) select col, prev, base, round(r / sum(r) over (partition by col, prev), 6) as p from x where r > 0")
 def adm_file(spark, sf_dir):
     """The learned model, written to a file and read back. Marginals are written with the transitions."""
     path = new_path(spark, "model") + ".adm"
     writers.write_bytes(spark, path, writers.adm_text(_learned(spark, sf_dir)).encode())
-    return _adm_table(spark, readers.read_adm(spark, path)).withColumn("p", F.round("p", 4))
+    return _adm_table(spark, readers.read_adm(spark, path))
 
 
 # functions on sequences
