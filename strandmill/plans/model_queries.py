@@ -338,11 +338,11 @@ _CODE40 = "list_reduce(list_transform(range(1, 21), lambda i: (strpos('ACGT', su
 
 @query(
     f"with {READS}, c as (select read_id, {_CODE40} as c from reads), x as (select *, lpad(bin(c), 40, '0') as b from c) "
-    "select read_id, length(regexp_extract(b, '1*$'))::int as trailing, length(regexp_extract(b, '^1*'))::int as leading, bit_count((c >> 4) & 255)::int as inner_ones from x"
+    "select read_id, length(regexp_extract(b, '1*$'))::int as low_ones, length(regexp_extract(b, '^1*'))::int as high_ones, bit_count((c >> 4) & 255)::int as inner_ones from x"
 )
 def bit_functions(spark, sf_dir):
     c = S.number_of(F.col("seq"))
-    return reads(spark, sf_dir).select("read_id", S.trailing_ones(c).alias("trailing"), S.leading_ones(c, 40).alias("leading"), S.bits_in_range(c, 4, 12).alias("inner_ones"))
+    return reads(spark, sf_dir).select("read_id", S.trailing_ones(c).alias("low_ones"), S.leading_ones(c, 40).alias("high_ones"), S.bits_in_range(c, 4, 12).alias("inner_ones"))
 
 
 _STRINGS6 = "g as (select " + " || ".join(f"b{i}.b" for i in range(6)) + " as pattern from " + ", ".join(f"(values ('A'), ('C'), ('G'), ('T')) b{i}(b)" for i in range(6)) + ")"
