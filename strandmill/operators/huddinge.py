@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = "n"
 BLOCK = 512
+COUNTS = 1 << 20
+"""Counts of agreements, a pair and offset each, that are held at once."""
 
 
 def _clean(s: str) -> str:
@@ -103,23 +106,76 @@ def all_pairs(reads: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.mapInPandas(compare, "i long, j long, dist tinyint")
 
 
-def all_alignments(reads: DataFrame, block: int = 64) -> DataFrame:
-    """(i, j, dist, shift), i > j: the best offsets of i against j, a row for each."""
+def _padded(seqs: list[str], gap: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, lengths): strings as columns of codes of any characters, one row a position; gaps and what is past the end are ``gap``."""
+    lengths = np.array([len(s) for s in seqs], np.int64)
+    width = int(lengths.max(initial=0))
+    raw = np.frombuffer("".join(s.ljust(width, GAP) for s in seqs).encode("utf-32-le"), np.uint32).reshape(len(seqs), width)
+    raw = np.where((raw == ord("n")) | (raw == ord("N")), ord(gap), raw)
+    return np.ascontiguousarray(raw.T.astype(np.uint8 if raw.max(initial=0) < 256 else np.uint32)), lengths
+
+
+def block_alignments(x: list[str], y: list[str], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Best offsets of each x against each y, in slices of x: (rows of x, offsets a, ends, columns of y, distances).
+
+    Group g is of row x[g] at offset a[g]; its columns and distances lie before ends[g], after the group before it.
+    ``wanted`` is false for pairs to leave out.
+    """
+    # gaps differ on the two sides, so they never agree
+    (left, m), (right, n) = _padded(x, "n"), _padded(y, "N")
+    shifts = np.arange(1 - len(right), len(left))
+    if not len(shifts):
+        return
+    bases_x, bases_y = (left != ord("n")).sum(0), (right != ord("N")).sum(0)
+    inside = None if m.min() == len(left) and n.min() == len(right) else (shifts[:, None] < m, shifts[:, None] > -n)
+    kind = np.uint8 if min(len(left), len(right)) < 256 else np.uint32
+    step = max(1, COUNTS // (len(shifts) * len(y)))
+    for low in range(0, len(x), step):
+        rows = np.arange(low, min(low + step, len(x)))
+        same = np.zeros((len(shifts), len(rows), len(y)), kind)
+        equal = np.empty(same.shape[1:], bool)
+        for i in range(len(left)):
+            for j in range(len(right)):
+                np.equal(left[i, rows, None], right[j], out=equal)
+                np.add(same[i - j + len(right) - 1], equal.view(np.uint8), out=same[i - j + len(right) - 1])
+        best = same == same.max(0)
+        if inside is not None:
+            best &= inside[0][:, rows, None] & inside[1][:, None, :]
+        if wanted is not None:
+            best &= wanted[rows]
+        at = np.flatnonzero(best)
+        starts = np.arange(len(shifts) * len(rows)) * len(y)
+        ends = np.searchsorted(at, starts + len(y))
+        held = np.diff(ends, prepend=0)
+        columns = at - np.repeat(starts, held)
+        row = np.tile(rows, len(shifts))
+        distances = np.maximum(np.repeat(bases_x[row], held), bases_y[columns]) - same.reshape(-1)[at]
+        some = held > 0
+        yield row[some], np.repeat(shifts, len(rows))[some], ends[some], columns, distances
+
+
+def all_alignments(reads: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, dist, shift), i > j: the best offsets of i against j, a row for each.
+
+    Pairs of blocks as in ``all_pairs``; Python returns a row for each read of the left block and offset, with lists of the
+    reads of the right one, and Spark explodes the lists.
+    """
     pairs, _ = _packed_pairs(reads, block)
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, q, left, right in zip(pdf["p"], pdf["q"], pdf["left"], pdf["right"], strict=True):
-                out = []
-                for x in left:
-                    for y in right:
-                        if x["read_id"] > y["read_id"] or (p != q and x["read_id"] != y["read_id"]):
-                            a, b = (x, y) if x["read_id"] > y["read_id"] else (y, x)
-                            d, offsets = alignments(a["seq"], b["seq"])
-                            out += [(a["read_id"], b["read_id"], d, o) for o in offsets]
-                yield pd.DataFrame(out, columns=["i", "j", "dist", "shift"])
-
-    return pairs.mapInPandas(align, "i long, j long, dist int, shift int")
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, q, *sides in zip(*(batch.column(c) for c in ("p", "q", "left", "right")), strict=True):
+                ids, seqs = zip(*((s.values.field("read_id").to_numpy(), s.values.field("seq").to_pylist()) for s in sides), strict=True)
+                wanted = ids[0][:, None] > ids[1] if p == q else None
+                for x, a, ends, columns, distances in block_alignments(*seqs, wanted):
+                    ends = pa.array(np.append(0, ends), pa.int32())
+                    lists = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (ids[1][columns], distances.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[0][x]), pa.array(a, pa.int32()), *lists], ["x", "a", "ys", "dists"])
+
+    found = pairs.mapInArrow(align, "x long, a int, ys array<long>, dists array<int>").select("x", "a", "dists", F.posexplode("ys").alias("k", "y"))
+    return found.select(
+        F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j"), F.col("dists")[F.col("k")].alias("dist"), F.when(F.col("x") > F.col("y"), F.col("a")).otherwise(-F.col("a")).alias("shift"),
+    )
 
 
 def neighbourhood(x: str, radius: int, max_length: int, least: int | None = None, most: int | None = None) -> dict[str, int]:

@@ -158,6 +158,24 @@ def brute_huddinge(x, y):
     return max(H.defined(x), H.defined(y)) - best
 
 
+@pytest.mark.parametrize(
+    "letters,low,high,counts",
+    [("ACGT", 8, 8, H.COUNTS), ("ACGTnN", 0, 8, H.COUNTS), ("ACGTnN", 0, 8, 50), ("nN", 0, 3, 50), ("Aé€\U0001f600N\0", 0, 5, 50), ("A", 250, 260, H.COUNTS), ("A", 0, 0, H.COUNTS)],
+)
+def test_block_alignments_are_those_of_each_pair(monkeypatch, letters, low, high, counts):
+    monkeypatch.setattr(H, "COUNTS", counts)
+    rng = random.Random(3)
+    x, y = (["".join(rng.choice(letters) for _ in range(rng.randint(low, high))) for _ in range(n)] for n in (12, 9))
+    wanted = np.array([[(i + j) % 3 > 0 for j in range(len(y))] for i in range(len(x))])
+    for some in (None, wanted):
+        got = []
+        for rows, shifts, ends, columns, distances in H.block_alignments(x, y, some):
+            for i, a, start, end in zip(rows, shifts, [0, *ends[:-1]], ends, strict=True):
+                got += [(i, j, d, a) for j, d in zip(columns[start:end], distances[start:end], strict=True)]
+        want = [(i, j, d, a) for i, u in enumerate(x) for j, v in enumerate(y) if some is None or some[i, j] for d, offsets in [H.alignments(u, v)] for a in offsets]
+        assert sorted(got) == sorted(want)
+
+
 def test_huddinge():
     rng = random.Random(3)
     words = ["".join(rng.choice("ACGTn") for _ in range(rng.randint(1, 8))) for _ in range(60)]

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -151,6 +152,35 @@ def test_distances_file(spark, tmp_path):
     assert raw == b"3\nACG\nACT\nGGG\n" + bytes([1, 2, 3])
 
 
+def test_alignments_of_pairs(spark):
+    from strandmill.operators import huddinge
+
+    rng = random.Random(5)
+    rows = [(i * 7 % 101 - 50, "".join(rng.choice("ACGTnN") for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    want = [(i, j, d, a) for i, x in rows for j, y in rows if i > j for d, offsets in [huddinge.alignments(x, y)] for a in offsets]
+    for block in (7, 512):
+        found = huddinge.all_alignments(reads, block)
+        assert found.dtypes == [("i", "bigint"), ("j", "bigint"), ("dist", "int"), ("shift", "int")]
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_alignments_take_little_longer_than_distances(spark):
+    from strandmill.operators import huddinge
+
+    reads = spark.range(2500).selectExpr("id as read_id", "substring(translate(md5(cast(id as string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 8) as seq").localCheckpoint()
+    took = []
+    for f in (huddinge.all_pairs, huddinge.all_alignments):
+        f(reads.where("read_id < 9")).collect()
+        began = time.perf_counter()
+        f(reads).write.format("noop").mode("overwrite").save()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 6 * took[0]
+    sums = [F.count("*"), F.sum(F.xxhash64("i", "j", F.col("dist").cast("int")).cast("decimal(38,0)"))]
+    found, pairs = huddinge.all_alignments(reads).select("i", "j", "dist").distinct(), huddinge.all_pairs(reads)
+    assert found.agg(*sums).first() == pairs.agg(*sums).first() and pairs.count() == 2500 * 2499 // 2
+
+
 def test_streaming_counts(spark, tmp_path):
     (tmp_path / "in").mkdir()
     out = f"file://{tmp_path}/out"
